@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import scanned
+from quern.llm import leakage, mixing, scanned
 from quern.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,34 @@ def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return scanned.repair(table(spark, folder, "rewrite_packet"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+
+
+def p8_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.overlaps(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+
+
+P8_FOUND = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+e AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM eval_item),
+dw AS (SELECT doc_id, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+ew AS (SELECT item_id, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM e))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)
+"""
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[1]
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[0]
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_repaired": p1_repaired}
+    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_report": p9_report, "p9_mixture": p9_mixture}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p8_found": P8_FOUND}

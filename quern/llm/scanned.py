@@ -13,6 +13,7 @@ yields no row in ``noise``; repeated rows of one packet count once in the result
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,6 @@ from quern.runtime import cut
 FIT_ROWS = 12_000
 #: A word is trusted as a correction if it stands in at least this many packets.
 TRUSTED_PACKETS = 4
-#: A word with this share of all (packet, word) rows is hot: at most 1 / share words can be.
-HOT_SHARE = 1 / 5000
 
 # Marks that can end a cut line.
 HYPHENS = "-­‐‑‒–¬⸗・﹣－"
@@ -45,12 +44,14 @@ CONFUSED = [
     ("o", "c"), ("c", "o"), ("o", "e"), ("e", "o"), ("a", "o"), ("s", "5"), ("v", "y"), ("y", "v"),
 ]
 
-ROWS = "packet_id long, document_key string, kind string, a string, b string, n int, f array<double>"
+ROWS = "packet_id long, document_key string, kind string, a string, b string, n int, f array<double>, ids array<long>"
 _WORD = re.compile(r"[^\W_]+")
+_ENTRY = re.compile(r"([-*+•]|\d+[.)]|[a-z][.)])\s")
 _ROMAN = re.compile(r"(?i)[ivxlc]{1,7}")
 _CODE = re.compile(r"[A-Za-z]\d+[A-Za-z]?|\d+[A-Za-z]?\d*|\d.*\d.*")
 _END = re.compile(r"[.!?:;][\"')\]]*$")
 _CUT = re.compile(rf"([^\W\d_][\w!|$@]*(?:-[^\W\d_]+)*)[{HYPHENS}]$")
+_RIGHT = re.compile(r"[\"'(]*([^\W\d_][\w!|$@]*(?:-[\w!|$@]+)*)")
 _STRIP = ".,;:()[]{}\"'“”‘’«»?*`"
 
 
@@ -73,7 +74,7 @@ def kinds_of(lines: list[str]) -> list[str]:
     out, fence = [], False
     for x in lines:
         s = x.strip()
-        if s.startswith(("```", "~~~")):
+        if s[:3] in ("```", "~~~"):
             out.append("fence")
             fence = not fence
         elif fence:
@@ -84,39 +85,66 @@ def kinds_of(lines: list[str]) -> list[str]:
             out.append("marker")
         elif s.startswith("#"):
             out.append("heading")
-        elif page_number(s):
+        elif len(s) <= 40 and page_number(s):
             out.append("number")
         elif s.startswith("|") or s.count("\t") >= 1 or s.count("|") >= 3:
             out.append("table")
-        elif re.match(r"([-*+•]|\d+[.)]|[a-z][.)])\s", s):
+        elif _ENTRY.match(s):
             out.append("list")
         else:
             out.append("text")
     return out
 
 
-def furniture(lines: list[str], kinds: list[str], key: str | None, pages: str | None) -> dict[int, list[float]]:
-    """Features of the lines that may be furniture, by line number; -1 - number for ordinary lines."""
-    body = [len(x.rstrip()) for x, k in zip(lines, kinds, strict=True) if k == "text"]
-    wrap = float(np.quantile(body, 0.9)) if body else 1.0
-    wrap = max(wrap, 1.0)
+def _wrap(lines: list[str], kinds: list[str]) -> float:
+    lengths = sorted(len(x) for x, k in zip(lines, kinds, strict=True) if k == "text")
+    return float(max(lengths[(len(lengths) * 9) // 10], 1)) if lengths else 1.0
+
+
+def furniture(lines: list[str], kinds: list[str], key: str | None, pages: str | None, sample: int) -> dict[int, list[float]]:
+    """Features of the lines that may be furniture, by line number; -1 - number for one ordinary line if ``sample`` says so."""
     slug = set(_WORD.findall((key or "").lower()))
+    wrap = _wrap(lines, kinds)
+    chosen: list[int] = []
+    ordinary = -1
+    for i, k in enumerate(kinds):
+        if k == "number":
+            chosen.append(i)
+        elif k == "text":
+            s = lines[i].strip()
+            ends = s[-1] in ".!?:;" or bool(_END.search(s))
+            if ends or s[0].islower():
+                parts = s.lower().split()
+                if len(parts) > 2 and sum(map(slug.__contains__, parts)) >= 0.6 * len(parts):
+                    chosen.append(i)
+                elif ordinary < 0 or i == sample % len(lines):
+                    ordinary = i
+                continue
+            words = _WORD.findall(s)
+            long = [w for w in words if len(w) > 3 and w.isalpha()] or words
+            follows = i + 1 < len(lines) and kinds[i + 1] not in ("blank", "heading", "fence")
+            n = i + 1
+            while n < len(lines) and kinds[n] not in ("text", "list"):
+                n += 1
+            first = lines[n].split(None, 1)[0] if n < len(lines) else ""
+            if words and (
+                (len(words) > 1 and sum(w[0].isupper() for w in long) >= 0.6 * len(long))
+                or (follows and len(s) + 1 + len(first) < wrap - 6)
+                or sum(w.lower() in slug for w in words) >= 0.5 * len(words)
+            ):
+                chosen.append(i)
+            else:  # the harder contrast: it starts like a header
+                ordinary = i
+    if not chosen and (ordinary < 0 or sample % 2):
+        return {}
+    seen = Counter(re.sub(r"\d+", "#", x.strip().lower()) for x in lines)
     bounds = [int(n) for n in re.findall(r"\d{1,6}", pages or "")]
-    seen: dict[str, int] = {}
-    for x in lines:
-        k = re.sub(r"\d+", "#", x.strip().lower())
-        seen[k] = seen.get(k, 0) + 1
-    out: dict[int, list[float]] = {}
     solid = [i for i, k in enumerate(kinds) if k != "blank"]
     place = {i: n for n, i in enumerate(solid)}
-    plain = 0
-    for i, x in enumerate(lines):
-        if kinds[i] not in ("text", "number"):
-            continue
-        s = x.strip()
-        words = _WORD.findall(s)
-        if not words:
-            continue
+    out: dict[int, list[float]] = {}
+    for i in [*chosen, *([ordinary] if ordinary >= 0 and sample % 2 == 0 else [])]:
+        s = lines[i].strip()
+        words = _WORD.findall(s) or ["-"]
         n = place[i]
         before = next((j for j in reversed(solid[max(0, n - 6) : n]) if kinds[j] in ("text", "list")), None)
         after = next((j for j in solid[n + 1 : n + 7] if kinds[j] in ("text", "list")), None)
@@ -125,92 +153,126 @@ def furniture(lines: list[str], kinds: list[str], key: str | None, pages: str |
         follows = i + 1 < len(lines) and kinds[i + 1] not in ("blank", "heading", "fence")
         precedes = i > 0 and kinds[i - 1] not in ("blank", "heading", "fence")
         long = [w for w in words if len(w) > 3 and w.isalpha()] or words
-        title = sum(w[0].isupper() for w in long) / len(long)
         ends = bool(_END.search(s))
-        slack = 1 - min(len(s) / wrap, 1.0)
-        overlap = sum(w.lower() in slug for w in words) / len(words)
-        first = next(iter(lines[after].split()), "") if after is not None else ""
+        first = lines[after].split(None, 1)[0] if after is not None else ""
         early = follows and not ends and len(s) + 1 + len(first) < wrap - 6
-        beside = sum(0 <= j < len(lines) and kinds[j] in ("marker", "number") for j in (i - 1, i + 1))
-        numbers = [int(w) for w in words if w.isdigit() and len(w) < 7]
-        inside = float(bool(bounds) and any(min(bounds) <= v <= max(bounds) for v in numbers))
+        numbers = [int(w) for w in words if w.isdecimal() and len(w) < 7]
         f = [
-            overlap, float(len(words)), title, float(s.upper() == s and any(c.isalpha() for c in s)), slack, float(flows), float(lower), float(ends),
-            float(early), float(beside), float("  " in s or "|" in s), float(seen[re.sub(r"\d+", "#", s.lower())]), sum(w.isdigit() for w in words) / len(words),
-            inside, float(kinds[i] == "number"), float(follows) + float(precedes), float(s[:1].isupper() or s[:1].isdigit()), float(before is not None) + float(after is not None),
+            sum(w.lower() in slug for w in words) / len(words), len(words), sum(w[0].isupper() for w in long) / len(long), s.upper() == s and any(c.isalpha() for c in s),
+            1 - min(len(s) / wrap, 1.0), flows, lower, ends, early, sum(0 <= j < len(lines) and kinds[j] in ("marker", "number") for j in (i - 1, i + 1)),
+            "  " in s or "|" in s, seen[re.sub(r"\d+", "#", s.lower())], sum(w.isdigit() for w in words) / len(words),
+            bool(bounds) and any(min(bounds) <= v <= max(bounds) for v in numbers), kinds[i] == "number", follows + precedes, s[:1].isupper() or s[:1].isdigit(),
+            (before is not None) + (after is not None),
         ]
-        if kinds[i] == "number" or (not ends and not s[:1].islower() and (title >= 0.6 and len(words) > 1 or early or overlap >= 0.5)) or (overlap >= 0.6 and len(words) > 2):
-            out[i] = f
-        elif plain < 2 and (i * 7 + len(s)) % 3 == 0:
-            plain += 1
-            out[-1 - i] = f
+        out[-1 - i if i == ordinary else i] = [float(v) for v in f]
     return out
 
 
-def running(lines: list[str], kinds: list[str], skip: set[int]) -> tuple[dict[str, list], list[tuple[str, str, int, int]], set[str]]:
-    """Running words (form -> [raw, capital inside a sentence]), cut words (left, right, lines), compounds."""
-    words: dict[str, list] = {}
+class _Tokens(dict):
+    """What a token as it stands between blanks says: (plain word forms, compound or None, bare token, ends a sentence)."""
+
+    def __missing__(self, raw: str) -> tuple[tuple[str, ...], str | None, str, bool]:
+        token = raw.strip(_STRIP)
+        forms: tuple[str, ...] = ()
+        compound = None
+        if token and "/" not in token and "=" not in token:
+            bits = [b for b in _MARKS.split(token) if b]
+            if len(bits) > 1 and all(b.isalpha() for b in bits):
+                compound = "-".join(bits).lower()
+            forms = tuple(
+                b for b in bits
+                if (n := sum(c.isalpha() for c in b)) >= 2 and n >= 0.5 * len(b) and not _CODE.fullmatch(b) and not (len(bits) == 1 and _MODEL.search(b))
+            )
+        if len(self) > 300_000:
+            self.clear()
+        found = self[raw] = (forms, compound, token, len(token) > 1 and raw[-1] in ".!?:")
+        return found
+
+
+_MARKS = re.compile(rf"[{HYPHENS}]")
+_MODEL = re.compile(r"[a-z]\d{2,}|[A-Z]\d")
+_TOKENS = _Tokens()
+
+
+def running(lines: list[str], kinds: list[str], skip: set[int]) -> tuple[dict[str, bool], list[tuple[str, str, int, int]], set[str]]:
+    """Running words (lower form -> only met as a name inside a sentence), cut words (left, right, lines), compounds."""
+    words: dict[str, bool] = {}
     cuts: list[tuple[str, str, int, int]] = []
     compounds: set[str] = set()
     flow = [i for i, k in enumerate(kinds) if k in ("text", "list") and i not in skip]
-    half: str | None = None
+    plain: set[str] = set()
+    half = False
     start = True
     for n, i in enumerate(flow):
-        parts = lines[i].split()
-        if not parts:
-            continue
-        left = _CUT.search(parts[-1])
-        nxt = flow[n + 1] if n + 1 < len(flow) else None
+        line = lines[i].rstrip()
+        parts = line.split()
         joined = False
-        if left and nxt is not None and not any(kinds[j] in ("heading", "fence", "table") for j in range(i + 1, nxt)):
-            right = re.match(r"[\"'(]*([^\W\d_][\w!|$@]*(?:-[\w!|$@]+)*)", lines[nxt].strip())
-            if right and right.group(1)[0].islower():
-                cuts.append((left.group(1), right.group(1), i, nxt))
-                joined = True
-        for m, raw in enumerate(parts):
-            token = raw.strip(_STRIP)
-            stop = raw.endswith((".", "!", "?", ":")) and len(token) > 1
-            if (m == 0 and half) or (m == len(parts) - 1 and joined):
-                start = stop
+        if line[-1] in HYPHENS and n + 1 < len(flow):
+            left, nxt = _CUT.search(parts[-1]), flow[n + 1]
+            if left and not any(kinds[j] in ("heading", "fence", "table") for j in range(i + 1, nxt)):
+                right = _RIGHT.match(lines[nxt].strip())
+                if right and right.group(1)[0].islower():
+                    cuts.append((left.group(1), right.group(1), i, nxt))
+                    joined = True
+        lo, hi = int(half), len(parts) - int(joined)
+        plain.update(parts[lo:hi])
+        for m in range(lo, hi):
+            raw = parts[m]
+            if raw[0].islower():
                 continue
-            if "/" not in token and token:
-                bits = [b for b in re.split(rf"[{HYPHENS}]", token) if b]
-                if len(bits) > 1 and all(b.isalpha() for b in bits):
-                    compounds.add("-".join(bits).lower())
-                code = m + 1 < len(parts) and _CODE.fullmatch(parts[m + 1].strip(_STRIP) or "-")
-                for b in bits:
-                    letters = sum(c.isalpha() for c in b)
-                    if letters < 2 or letters < 0.5 * len(b) or _CODE.fullmatch(b) or (len(bits) == 1 and re.search(r"[a-z]\d{2,}|[A-Z]\d", b)):
-                        continue
-                    cap = b[0].isupper() and (not start or bool(code) or b.isupper())
-                    w = words.setdefault(b.lower(), [b, True])
-                    w[1] = w[1] and cap
-            start = stop
-        half = cuts[-1][1] if joined else None
+            forms = _TOKENS[raw][0]
+            if forms and any(c.isupper() for c in raw):
+                first = start if m == 0 else _TOKENS[parts[m - 1]][3]
+                code = m + 1 < len(parts) and _CODE.fullmatch(_TOKENS[parts[m + 1]][2] or "-") is not None
+                for b in forms:
+                    if b[0].isupper():
+                        name = not first or code or b.isupper()
+                        w = b.lower()
+                        words[w] = words.get(w, True) and name
+        start = _TOKENS[parts[-1]][3]
+        half = joined
+    for raw in plain:
+        forms, compound, _, _ = _TOKENS[raw]
+        if compound:
+            compounds.add(compound)
+        for b in forms:
+            if not b[0].isupper():
+                words[b.lower()] = False
     return words, cuts, compounds
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["packet_id", "document_key", "kind", "a", "b", "n", "f", "ids"]
     for batch in batches:
         out = []
+        holders: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+        bound: Counter[str] = Counter()
         for pid, key, pages, text in zip(batch.packet_id, batch.document_key, batch.page_range, batch.source_segment, strict=True):
-            if text is None or pid is None or pid != pid:
+            if not text or pid is None or pid != pid:
                 continue
+            pid = int(pid)
             lines = text.split("\n")
             kinds = kinds_of(lines)
-            marks = furniture(lines, kinds, key, pages)
+            marks = furniture(lines, kinds, key, pages, pid)
             for i, f in marks.items():
                 raw = lines[i if i >= 0 else -1 - i].strip()
-                out.append((pid, key, "l" if i >= 0 else "n", re.sub(r"\d+", "#", raw.lower()), raw, i if i >= 0 else -1 - i, f))
+                out.append((pid, key, "l" if i >= 0 else "n", re.sub(r"\d+", "#", raw.lower()), raw, i if i >= 0 else -1 - i, f, None))
             words, cuts, compounds = running(lines, kinds, {i for i in marks if i >= 0})
-            out += [(pid, key, "w", w, raw, int(cap), None) for w, (raw, cap) in words.items()]
-            out += [(pid, key, "c", c, None, 0, None) for c in compounds]
-            out += [(pid, key, "j", a, b, i, None) for a, b, i, _ in cuts]
-        yield pd.DataFrame(out, columns=["packet_id", "document_key", "kind", "a", "b", "n", "f"])
+            for w, name in words.items():
+                holders[name].setdefault(w, []).append(pid)
+            bound.update(compounds)
+            out += [(pid, key, "j", a, b, i, None, None) for a, b, i, _ in cuts]
+        out += [(None, None, "w", w, None, name, None, ids) for name in (0, 1) for w, ids in holders[name].items()]
+        out += [(None, None, "c", w, None, n, None, None) for w, n in bound.items()]
+        yield pd.DataFrame(out, columns=columns).astype({"packet_id": "Int64"})
 
 
 def rows_of(packets: DataFrame) -> DataFrame:
-    """Every segment taken apart; see ``ROWS``."""
+    """Every segment taken apart, in the columns of ``ROWS``.
+
+    Kinds: ``l`` a line that may be furniture, ``n`` an ordinary line for contrast, ``j`` a cut word; of a
+    whole batch ``w`` a word (n: 1 as a name only) with the packets it stands in and ``c`` a compound with its count.
+    """
     return packets.select(
         F.col("packet_id").cast("long"), F.col("document_key").cast("string"), F.col("page_range").cast("string"), F.col("source_segment").cast("string")
     ).mapInPandas(_parse, ROWS)
@@ -414,9 +476,9 @@ def _scorer(model: Boosted):
 def findings(packets: DataFrame) -> DataFrame:
     """Every finding: packet_id, noise_kind, n (line, -1 for a word), a (as read), b (right part or correction)."""
     rows = cut(rows_of(packets))
-    counts = rows.where("kind in ('w', 'c')").groupBy("kind", "a").agg(F.countDistinct("packet_id").alias("packets"), F.min("n").alias("capital"))
-    counts = cut(counts)
-    words = counts.where("kind = 'w'").select(F.col("a").alias("word"), "packets", (F.col("capital") == 0).alias("spoken"))
+    here = F.when(F.col("kind") == "w", F.size("ids")).otherwise(F.col("n"))
+    counts = cut(rows.where("kind in ('w', 'c')").groupBy("kind", "a").agg(F.sum(here).alias("packets"), F.min("n").alias("name_only")))
+    words = counts.where("kind = 'w'").select(F.col("a").alias("word"), "packets", (F.col("name_only") == 0).alias("spoken"))
 
     lines = rows.where("kind in ('l', 'n')")
     recurs = lines.where("kind = 'l' and document_key is not null").groupBy("document_key", "a").agg(F.count("*").alias("recurs"))
@@ -439,12 +501,11 @@ def findings(packets: DataFrame) -> DataFrame:
     whole = joins.where((_scorer(_fit_joiner(counts))(pair) >= 0.5) | F.col("whole_true").isNotNull())
     hyphens = whole.select("packet_id", F.lit("hyphen").alias("noise_kind"), "n", "a", "b")
 
-    # Hot words are trusted by their count, so they never reach the shuffle of the join; at most 1 / HOT_SHARE of them exist.
-    total = counts.where("kind = 'w'").agg(F.sum("packets")).first()[0] or 0
-    hot = F.broadcast(counts.where((F.col("kind") == "w") & (F.col("packets") >= max(total * HOT_SHARE, 50))).select("a"))
-    tokens = rows.where("kind = 'w' and n = 0").join(hot, "a", "left_anti").select("packet_id", F.col("a").alias("read"))
-    tokens = tokens.unionByName(whole.select("packet_id", F.col("whole").alias("read")))
-    glyphs = tokens.join(fix, "read").select("packet_id", F.lit("glyph").alias("noise_kind"), F.lit(-1).alias("n"), F.col("read").alias("a"), F.col("true").alias("b"))
+    # One row per word and batch, with its packets: a word of every packet is no hot key, and only misread words are exploded.
+    held = rows.where("kind = 'w' and n = 0").select(F.col("a").alias("read"), "ids").join(fix, "read")
+    tokens = held.select(F.explode("ids").alias("packet_id"), "read", "true")
+    tokens = tokens.unionByName(whole.where("whole_true is not null").select("packet_id", F.col("whole").alias("read"), F.col("whole_true").alias("true")))
+    glyphs = tokens.select("packet_id", F.lit("glyph").alias("noise_kind"), F.lit(-1).alias("n"), F.col("read").alias("a"), F.col("true").alias("b"))
     return headers.unionByName(paged).unionByName(hyphens).unionByName(glyphs)
 
 
