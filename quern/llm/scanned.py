@@ -43,6 +43,8 @@ CONFUSED = [
     ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("fi", "h"), ("lc", "k"), ("tt", "it"), ("ni", "m"), ("in", "m"),
     ("o", "c"), ("c", "o"), ("o", "e"), ("e", "o"), ("a", "o"), ("s", "5"), ("v", "y"), ("y", "v"),
 ]
+#: A longer run of characters is data, not a word of running text.
+LONGEST = 64
 
 ROWS = "packet_id long, document_key string, kind string, a string, b string, n int, f array<double>, ids array<long>"
 _WORD = re.compile(r"[^\W_]+")
@@ -181,7 +183,7 @@ class _Tokens(dict):
                 compound = "-".join(bits).lower()
             forms = tuple(
                 b for b in bits
-                if (n := sum(c.isalpha() for c in b)) >= 2 and n >= 0.5 * len(b) and not _CODE.fullmatch(b) and not (len(bits) == 1 and _MODEL.search(b))
+                if len(b) <= LONGEST and (n := sum(c.isalpha() for c in b)) >= 2 and n >= 0.5 * len(b) and not _CODE.fullmatch(b) and not (len(bits) == 1 and _MODEL.search(b))
             )
         if len(self) > 300_000:
             self.clear()
@@ -335,23 +337,25 @@ def candidates(words: DataFrame) -> DataFrame:
     The inverted index holds trusted words under (trigram, length); a word probes the lengths it could
     have been misread from. Trigrams that both share are counted, Levenshtein distance closes the filter.
     """
-    gram = F.transform(F.sequence(F.lit(1), F.length("p") - 2), lambda i: F.substring(F.col("p"), i, F.lit(3)))
+    gram = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("p") - 2), lambda i: F.substring(F.col("p"), i, F.lit(3))))
     padded = words.withColumn("p", F.concat(F.lit("^"), "word", F.lit("$"))).where(F.length("p") >= 5)
     index = padded.where((F.col("packets") >= TRUSTED_PACKETS) & F.col("spoken") & F.col("word").rlike(r"^\p{Ll}+$")).select(
-        F.col("word").alias("true"), F.col("packets").alias("true_df"), F.explode(F.array_distinct(gram)).alias("g"), F.length("word").alias("len")
+        F.col("word").alias("true"), F.col("packets").alias("true_df"), F.posexplode(gram).alias("at", "g"), F.length("word").alias("len")
     )
     probe = (
         padded.where(F.col("spoken"))
-        .select(F.col("word").alias("read"), F.col("packets").alias("read_df"), F.explode(F.array_distinct(gram)).alias("g"), F.length("word").alias("at"))
-        .withColumn("len", F.explode(F.sequence(F.col("at") - 2, F.col("at") + 2)))
+        .select(F.col("word").alias("read"), F.col("packets").alias("read_df"), F.posexplode(gram).alias("from", "g"), F.length("word").alias("size"))
+        .withColumn("len", F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2)))
     )
+    near = (F.col("far") >= 0) & ((F.col("far") <= 1) | ((F.col("far") == 2) & (F.col("size") >= 5)) | (F.col("size") >= 7))
     return (
         probe.join(index, ["g", "len"])
-        .where((F.col("read") != F.col("true")) & (F.col("true_df") >= F.col("read_df")))
+        .where((F.abs(F.col("from") - F.col("at")) <= 2) & (F.col("read") != F.col("true")) & (F.col("true_df") >= F.col("read_df")))
+        .withColumn("far", F.levenshtein("read", "true", 3))
+        .where(near)  # before the count, so that only near pairs are shuffled
         .groupBy("read", "true")
-        .agg(F.count("*").alias("shared"), F.first("read_df").alias("read_df"), F.first("true_df").alias("true_df"))
-        .withColumn("far", F.levenshtein("read", "true"))
-        .where((F.col("far") <= 1) | ((F.col("far") == 2) & (F.length("read") >= 5)) | ((F.col("far") == 3) & (F.col("shared") >= 2) & (F.length("read") >= 7)))
+        .agg(F.count("*").alias("shared"), F.first("read_df").alias("read_df"), F.first("true_df").alias("true_df"), F.first("far").alias("far"))
+        .where((F.col("far") < 3) | (F.col("shared") >= 2))
     )
 
 
