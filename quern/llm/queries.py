@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import leakage, mixing, scanned
+from quern.llm import leakage, mixing, residue, scanned
 from quern.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +45,16 @@ def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[0]
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "documents")).select("doc_id", "residue_kind")
+
+
+def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.without_residue(table(spark, folder, "documents")).select("doc_id", "source", "lang", "n_chars")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_report": p9_report, "p9_mixture": p9_mixture}
+    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_report": p9_report, "p9_mixture": p9_mixture, "p10_found": p10_found, "p10_clean": p10_clean}
 
 
 def oracle_sql() -> dict[str, str]:
