@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import leakage, mixing, residue, scanned
+from quern.llm import leakage, mixing, quality, residue, scanned
 from quern.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return scanned.repair(table(spark, folder, "rewrite_packet"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.not_prose(table(spark, folder, "documents"))
+
+
+def p2_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.text_types(table(spark, folder, "documents"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
@@ -54,7 +62,7 @@ def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_report": p9_report, "p9_mixture": p9_mixture, "p10_found": p10_found, "p10_clean": p10_clean}
+    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_statistics": p2_statistics, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_clean": p10_clean}
 
 
 def oracle_sql() -> dict[str, str]:
