@@ -12,10 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import heavy_keys
-
-#: Copies of the small side that a heavy key is spread over.
-SALTS = 16
+from quern.runtime import salted_join
 
 
 def manifest_delta(old: DataFrame, new: DataFrame, keys: list[str], token: str) -> DataFrame:
@@ -56,16 +53,6 @@ def last_success(work: DataFrame) -> DataFrame:
     return runs.where(F.col("done_at").isNotNull()).groupBy("document_key").agg(F.max_by("leased_at", F.struct("done_at", "run_id")).alias("leased_at"))
 
 
-def with_runs(samples: DataFrame, runs: DataFrame) -> DataFrame:
-    """Samples with leased_at of their document. Heavy documents are spread over ``SALTS`` partitions."""
-    heavy = heavy_keys(samples, "document_key", share=0.01)
-    is_heavy = F.col("document_key").isin(heavy) if heavy else F.lit(False)
-    spread = F.when(is_heavy, F.pmod(F.xxhash64("sample_id"), F.lit(SALTS)).cast("int")).otherwise(0)
-    copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = runs.withColumn("salt", F.explode(copies))
-    return samples.withColumn("salt", spread).join(right, ["document_key", "salt"], "left").drop("salt")
-
-
 def file_states(samples: DataFrame, work: DataFrame) -> DataFrame:
     """One row per watched file: present and processed content, and whether the file is at rest.
 
@@ -77,7 +64,7 @@ def file_states(samples: DataFrame, work: DataFrame) -> DataFrame:
     seen = F.col("leased_at").isNotNull() & (F.col("sampled_at") <= F.col("leased_at"))
     known = F.col("content_hash").isNotNull()
     return (
-        with_runs(s, last_success(work))
+        salted_join(s, last_success(work), "document_key", "sample_id")
         .groupBy("document_key", "root_name", "relative_path")
         .agg(
             F.max_by("stable_checks", at).alias("stable_checks"),

@@ -75,3 +75,17 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.002) -> list:
     total = df.count()
     least = max(2.0, share * total)
     return [r[0] for r in counts.where(F.col("count") >= least).select(key).collect()]
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, spread_by: str, salts: int = 16, share: float = 0.01) -> DataFrame:
+    """Left join of ``big`` with ``small``, which has one row per key.
+
+    Keys that hold ``share`` of the rows of ``big`` or more (at most 1 / share of them) are spread over
+    ``salts`` partitions, and only their rows of ``small`` are copied.
+    """
+    heavy = heavy_keys(big, key, share)
+    is_heavy = F.col(key).isin(heavy) if heavy else F.lit(False)
+    salt = F.when(is_heavy, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)
+    copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = small.withColumn("_salt", F.explode(copies))
+    return big.withColumn("_salt", salt).join(right, [key, "_salt"], "left").drop("_salt")
