@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import leakage, mixing, quality, residue, scanned
+from quern.llm import leakage, mixing, quality, residue, scanned, survivors
 from quern.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,44 @@ def p2_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_types(table(spark, folder, "documents"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.chosen(table(spark, folder, "source_part"), table(spark, folder, "source_root")).select("document_key", "field_name", "part_id")
+
+
+P3_FOUND = r"""
+WITH n AS (
+  SELECT * FROM source_part WHERE document_key IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY document_key, part_key ORDER BY scanned_at DESC NULLS LAST, part_id DESC) = 1),
+g AS (SELECT document_key FROM n GROUP BY document_key HAVING count(*) >= 2),
+r AS (
+  SELECT n.*, s.root_rank FROM n JOIN g USING (document_key)
+  LEFT JOIN source_root s ON s.root_name = regexp_replace(lower(trim(n.root_name)), '[_\s]+', '-', 'g')),
+v AS (
+  SELECT *, regexp_replace(regexp_replace(lower(title), '[^\p{L}\p{N}]', '', 'g'), '\p{N}+$', '') AS t,
+    regexp_replace(lower(title), '[^\p{L}\p{N}]', '', 'g') AS tb,
+    regexp_replace(regexp_replace(lower(source_pdf), '[^\p{L}\p{N}]', '', 'g'), '\p{N}+$', '') AS p,
+    regexp_replace(lower(source_pdf), '[^\p{L}\p{N}]', '', 'g') AS pb FROM r),
+bad AS (SELECT unnest(['na','nan','nil','none','null','unknown','unnamed','untitled','tbd','tba','todo','notitle','noname','novalue','missing','undefined',
+  'notavailable','notapplicable','notset','empty','blank','placeholder','tobedetermined','tobedefined']) AS w),
+f AS (
+  SELECT *, 'text' AS field_name FROM v WHERE regexp_matches(body, '[\p{L}\p{N}]')
+  UNION ALL SELECT *, 'title' FROM v WHERE tb <> '' AND (t = '' OR t NOT IN (SELECT w FROM bad))
+  UNION ALL SELECT *, 'source_pdf' FROM v WHERE pb <> '' AND (p = '' OR p NOT IN (SELECT w FROM bad))
+  UNION ALL SELECT *, 'pages' FROM v WHERE pages > 0)
+SELECT document_key, field_name, part_id FROM f
+QUALIFY row_number() OVER (PARTITION BY document_key, field_name ORDER BY root_rank DESC NULLS LAST, coalesce(has_front_matter, 0) DESC,
+  coalesce(text_chars, 0) DESC, scanned_at DESC NULLS LAST, part_id) = 1
+"""
+
+
+def p3_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.survivors(table(spark, folder, "source_part"), table(spark, folder, "source_root"))
+
+
+def p3_marks(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.marks(table(spark, folder, "source_part"), table(spark, folder, "source_root"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
@@ -62,8 +100,8 @@ def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_statistics": p2_statistics, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_clean": p10_clean}
+    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_statistics": p2_statistics, "p3_found": p3_found, "p3_survivors": p3_survivors, "p3_marks": p3_marks, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_clean": p10_clean}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p8_found": P8_FOUND}
+    return {"p3_found": P3_FOUND, "p8_found": P8_FOUND}
