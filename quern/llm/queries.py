@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import history, leakage, mixing, quality, residue, scanned, survivors
+from quern.llm import history, leakage, mixing, pieces, quality, residue, scanned, survivors
 from quern.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.duplicates(table(spark, folder, "source_part"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.found(table(spark, folder, "rewrite_packet"))
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.pieces(table(spark, folder, "rewrite_packet"), table(spark, folder, "source_document"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
@@ -104,7 +112,7 @@ def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_statistics": p2_statistics, "p3_found": p3_found, "p3_survivors": p3_survivors, "p3_marks": p3_marks, "p4_found": p4_found, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_clean": p10_clean}
+    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_statistics": p2_statistics, "p3_found": p3_found, "p3_survivors": p3_survivors, "p3_marks": p3_marks, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_clean": p10_clean}
 
 
 def oracle_sql() -> dict[str, str]:
