@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import history, leakage, mixing, pieces, quality, residue, scanned, survivors
+from quern.llm import history, leakage, mixing, pieces, quality, residue, scanned, spans, survivors
 from quern.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,23 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.pieces(table(spark, folder, "rewrite_packet"), table(spark, folder, "source_document"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.pairs(table(spark, folder, "knowledge_card"), table(spark, folder, "similarity_input")).select("card_id", "input_id")
+
+
+P7_FOUND = r"""
+WITH c AS (SELECT card_id, regexp_extract_all(lower(fact), '[\p{L}\p{N}]+') AS w FROM knowledge_card),
+s AS (SELECT input_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM (SELECT input_id, unnest(source_segments) AS t FROM similarity_input)),
+cw AS (SELECT DISTINCT card_id, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT card_id, w, unnest(range(1, len(w) - 11)) AS i FROM c)),
+sw AS (SELECT DISTINCT input_id, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT input_id, w, unnest(range(1, len(w) - 11)) AS i FROM s))
+SELECT DISTINCT card_id, input_id FROM cw JOIN sw USING (g)
+"""
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shares(table(spark, folder, "knowledge_card"), table(spark, folder, "similarity_input"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
@@ -112,8 +129,8 @@ def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_statistics": p2_statistics, "p3_found": p3_found, "p3_survivors": p3_survivors, "p3_marks": p3_marks, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_clean": p10_clean}
+    return {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_statistics": p2_statistics, "p3_found": p3_found, "p3_survivors": p3_survivors, "p3_marks": p3_marks, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_clean": p10_clean}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p8_found": P8_FOUND}
+    return {"p3_found": P3_FOUND, "p7_found": P7_FOUND, "p8_found": P8_FOUND}
