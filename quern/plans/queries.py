@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.operators import incremental
+from quern.plans import quality_plans
 from quern.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,9 +42,12 @@ WHERE n.stable_checks >= 2 AND (p.document_key IS NULL OR n.h IS DISTINCT FROM p
 """
 
 
+PLANS = (quality_plans,)
+
+
 def queries() -> dict[str, Query]:
-    return {"p6_found": p6_found}
+    return {"p6_found": p6_found} | {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6_FOUND}
+    return {"p6_found": P6_FOUND} | {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
