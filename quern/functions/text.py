@@ -90,7 +90,7 @@ def cell(text: Column) -> Column:
 def version_numbers(text: Column) -> Column:
     """Greatest version in a text as an array of ints; arrays compare by position. Null where there is none."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b(\d+(?:\.\d+)+)"), 1)
-    parsed = F.transform(found, lambda v: F.transform(F.split(v, r"\."), lambda x: x.cast("int")))
+    parsed = F.transform(found, lambda v: F.transform(F.split(v, r"\."), lambda x: x.try_cast("int")))
     return F.array_max(parsed)
 
 

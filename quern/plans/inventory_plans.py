@@ -72,7 +72,7 @@ QUERIES = {
     "q_card_marks": lambda s, f: _t(s, f, "knowledge_card").groupBy(card_mark().alias("mark")).agg(F.count("*").alias("cards"), F.countDistinct("generated_path").alias("paths")),
     "q_fact_dedup": lambda s, f: fact_dedup(_t(s, f, "knowledge_card")),
     "q_card_dedup": lambda s, f: card_dedup(_t(s, f, "knowledge_card")),
-    "q_citation_keys": lambda s, f: _t(s, f, "knowledge_card").where("citation_key is not null").select(F.regexp_extract("citation_key", r"\[([^\]\s]+)", 1).alias("slug"), F.regexp_extract("citation_key", r"p(\d+)", 1).cast("int").alias("page")).groupBy("slug").agg(F.count("*").alias("uses"), F.countDistinct("page").alias("pages")),
+    "q_citation_keys": lambda s, f: _t(s, f, "knowledge_card").where("citation_key is not null").select(F.regexp_extract("citation_key", r"\[([^\]\s]+)", 1).alias("slug"), F.nullif(F.regexp_extract("citation_key", r"p(\d+)", 1), F.lit("")).try_cast("int").alias("page")).groupBy("slug").agg(F.count("*").alias("uses"), F.countDistinct("page").alias("pages")),
     "q_page_bounds": lambda s, f: _t(s, f, "rewrite_packet").select("packet_id", T.page_bounds(F.col("page_range")).alias("b")).select("packet_id", F.col("b.first").alias("first_page"), F.col("b.last").alias("last_page")),
     "q_scalar_functions": lambda s, f: _t(s, f, "source_document").select(
         "document_key", T.slug(F.col("title")).alias("slug"), T.heading_slug(F.col("title")).alias("anchor"), T.signal(F.col("title")).alias("signal"), T.document_key(F.col("source_pdf")).alias("source_key"),
@@ -130,7 +130,7 @@ d AS (SELECT coalesce(b.document_key, a.document_key) AS document_key, coalesce(
   FROM a FULL JOIN b ON a.document_key = b.document_key AND a.relative_path = b.relative_path AND a.content_hash IS NOT DISTINCT FROM b.content_hash)"""
 VERSIONS = """
 d AS (SELECT document_key, min(title) AS title, max(pages) AS pages, max(text_chars) AS chars FROM source_document GROUP BY 1),
-v AS (SELECT document_key, """ + FAMILY.format(t="title") + """ AS family, (SELECT max(x) FROM (SELECT unnest(list_transform(regexp_extract_all(title, '\\b(\\d+(?:\\.\\d+)+)', 1), lambda v: list_transform(string_split(v, '.'), lambda y: CAST(y AS INT)))) AS x)) AS ver,
+v AS (SELECT document_key, """ + FAMILY.format(t="title") + """ AS family, (SELECT max(x) FROM (SELECT unnest(list_transform(regexp_extract_all(title, '\\b(\\d+(?:\\.\\d+)+)', 1), lambda v: list_transform(string_split(v, '.'), lambda y: TRY_CAST(y AS INT)))) AS x)) AS ver,
   coalesce(pages, 0) AS pages, coalesce(chars, 0) AS chars FROM d),
 w AS (SELECT *, count(*) OVER (PARTITION BY family) AS family_size, row_number() OVER (PARTITION BY family ORDER BY ver DESC, pages DESC, chars DESC, document_key) AS k FROM v WHERE ver IS NOT NULL AND family <> '')
 """
@@ -190,6 +190,6 @@ SQL = {
     "q_page_bounds": "SELECT packet_id, list_min(n) AS first_page, list_max(n) AS last_page FROM (SELECT packet_id, list_transform(list_slice(regexp_extract_all(coalesce(page_range, ''), '(\\d{1,6})', 1), 1, 2), lambda x: CAST(x AS INT)) AS n FROM rewrite_packet)",
     "q_scalar_functions": f"""SELECT document_key, {SLUG.format(x='title')} AS slug, regexp_replace(regexp_replace(lower(regexp_replace(title, '^\\s+|\\s+$', '', 'g')), '[^\\p{{L}}\\p{{N}}\\s_-]', '', 'g'), '\\s', '-', 'g') AS anchor,
       regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS signal, concat_ws('-', substr(sha1(source_pdf), 1, 12), nullif(right({SLUG.format(x='source_pdf')}, 200), '')) AS source_key,
-      coalesce(array_to_string((SELECT max(x) FROM (SELECT unnest(list_transform(regexp_extract_all(title, '\\b(\\d+(?:\\.\\d+)+)', 1), lambda v: list_transform(string_split(v, '.'), lambda y: CAST(y AS INT)))) AS x)), '.'), '') AS version,
+      coalesce(array_to_string((SELECT max(x) FROM (SELECT unnest(list_transform(regexp_extract_all(title, '\\b(\\d+(?:\\.\\d+)+)', 1), lambda v: list_transform(string_split(v, '.'), lambda y: TRY_CAST(y AS INT)))) AS x)), '.'), '') AS version,
       {FAMILY.format(t='title')} AS family, date_diff('day', CAST(updated_at AS DATE), DATE '2026-12-31') AS age_days, CAST(CAST(updated_at AS DATE) + INTERVAL 180 DAY AS DATE) AS review_on FROM source_document""",
 }
