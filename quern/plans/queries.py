@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.operators import incremental
-from quern.plans import inventory_plans, quality_plans, text_plans
+from quern.plans import flow_plans, inventory_plans, quality_plans, text_plans
 from quern.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +42,7 @@ WHERE n.stable_checks >= 2 AND (p.document_key IS NULL OR n.h IS DISTINCT FROM p
 """
 
 
-PLANS = (inventory_plans, quality_plans, text_plans)
+PLANS = (inventory_plans, quality_plans, text_plans, flow_plans)
 
 
 def queries() -> dict[str, Query]:

@@ -61,7 +61,12 @@ def watch(spark: SparkSession, source: str, root: str, name: str = "watcher") ->
         table.commit(cut(folded(old, summaries(batch))), {name: number}, base=base, replace=True)
 
     schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).parquet(source)
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        stream = reader.parquet(source)
+    else:  # a file source watches folders; of this one it takes the file alone
+        stream = reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
     stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
     return table
 
