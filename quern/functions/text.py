@@ -84,7 +84,7 @@ def camel_to_snake(name: Column) -> Column:
 
 def cell(text: Column) -> Column:
     """Text for one Markdown table cell."""
-    return F.regexp_replace(F.regexp_replace(text, r"\|", r"\\\\|"), r"\s*\n\s*", " ")
+    return F.regexp_replace(F.regexp_replace(text, r"\|", r"\\|"), r"\s*\n\s*", " ")
 
 
 def version_numbers(text: Column) -> Column:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +59,10 @@ def _split(text: str | None) -> list[dict]:
 
 def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, paragraph, no, sentence. Fenced code and headings are left out, abbreviations do not end a sentence."""
-    split = F.pandas_udf(lambda column: column.map(_split), "array<struct<paragraph:int,sentence:string>>", F.PandasUDFType.SCALAR)
+    @F.pandas_udf("array<struct<paragraph:int,sentence:string>>")
+    def split(column: pd.Series) -> pd.Series:
+        return column.map(_split)
+
     return documents.select(key, F.posexplode(split(text)).alias("no", "s")).select(key, F.col("s.paragraph").alias("paragraph"), "no", F.col("s.sentence").alias("sentence"))
 
 
