@@ -161,21 +161,24 @@ def _one(doc_id: int | None, text: str | None, common: frozenset[str]) -> tuple:
 
 
 def common_words(documents: DataFrame, size: int = COMMON_WORDS) -> frozenset[str]:
-    """The ``size`` words that stand in most documents, ties by word. Counts are over all documents."""
+    """The ``size`` words that stand in most documents, ties by word, if they stand in 3 of them and in one of a
+    thousand. Counts are over all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter[str] = Counter()
         for b in batches:
             for t in b["text"]:
                 held.update(set(words(t)))
+            held[""] += len(b)
             if len(held) > 1_000_000:
                 yield pd.DataFrame(held.items(), columns=["word", "n"])
                 held.clear()
         yield pd.DataFrame(held.items(), columns=["word", "n"])
 
     counted = documents.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return frozenset(r["word"] for r in top.collect())
+    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size + 1).collect()
+    least = max(3, max((r["n"] for r in top if not r["word"]), default=0) // 1000)
+    return frozenset(r["word"] for r in top if r["word"] and r["n"] >= least)
 
 
 def statistics(documents: DataFrame) -> DataFrame:

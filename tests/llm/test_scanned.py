@@ -36,7 +36,8 @@ def corpus(n=160):
             lines[at], lines[at + 1] = f"{first} {last[:3]}-", f"{last[3:]} {lines[at + 1]}"
             truth.add((i, "hyphen"))
         if i % 4 == 1:
-            done = " ".join(lines).replace(" journal ", " joumal ", 1).replace(" random ", " rand0m ", 1)
+            true, read = rng.choice([("journal", "joumal"), ("random", "rand0m"), ("storage", "st0rage"), ("window", "wind0w"), ("circuit", "circiiit"), ("signal", "signa1"), ("modern", "modem"), ("buffer", "buffcr")])
+            done = " ".join(lines).replace(f" {true} ", f" {read} ", 1)
             if done != " ".join(lines):
                 truth.add((i, "glyph"))
                 lines = wrapped(done)
