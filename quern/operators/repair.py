@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.runtime import most_frequent
+
 LONGEST = 32
 #: Words of the vocabulary that are broadcast, most frequent first; bounds what every task holds.
 VOCABULARY = 100_000
@@ -35,7 +37,7 @@ def segment(text: str, logs: dict[str, float], unknown: float) -> list[str]:
 
 def segmented(texts: DataFrame, counts: DataFrame, key: str, text: str) -> DataFrame:
     """key, words: runs of letters cut into likely words; ``counts`` has word and n. Null and empty texts give none."""
-    top = counts.where(F.col("word").rlike(r"^\p{L}+$")).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    top = most_frequent(counts.where(F.col("word").rlike(r"^\p{L}+$")), "n", VOCABULARY)
     total = sum(r["n"] for r in top) or 1
     held = texts.sparkSession.sparkContext.broadcast({r["word"]: math.log(r["n"] / total) for r in top})
 

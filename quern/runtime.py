@@ -89,3 +89,29 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread_by: str, salt
     copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = small.withColumn("_salt", F.explode(copies))
     return big.withColumn("_salt", salt).join(right, [key, "_salt"], "left").drop("_salt")
+
+
+def most_frequent(counted: DataFrame, count: str, at_most: int) -> list:
+    """Rows whose count reaches a threshold that no more than ``at_most`` rows reach.
+
+    The threshold comes from a histogram of a few hundred buckets, so neither the driver nor any task sorts
+    or holds more than the rows that are returned. ``counted`` is read twice.
+    """
+    bucket = F.floor(F.log2(F.col(count).cast("double")) * 8)
+    counted = counted.where(F.col(count) > 0)
+    sizes = sorted(((r["b"], r["n"]) for r in counted.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    taken, least = 0, None
+    for b, n in sizes:
+        if taken + n > at_most:
+            break
+        taken, least = taken + n, b
+    return [] if least is None else counted.where(bucket >= least).collect()
+
+
+def hashed_sample(df: DataFrame, rows: int, *key: str) -> list:
+    """About ``rows`` rows at most, chosen by the hash of their key: the same on any partitioning, never gathered to be chosen."""
+    n = df.count()
+    if n > rows:
+        share = int(1_000_000 * rows / n)
+        df = df.where(F.pmod(F.xxhash64(F.lit(17), *key), F.lit(1_000_000)) < share)
+    return df.collect()
