@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.words import words
+from quern.runtime import cut, most_frequent
 
 #: Number of the corpus's words, by documents they stand in, that are common; bounds what every task holds.
 COMMON_WORDS = 3000
@@ -161,7 +162,7 @@ def _one(doc_id: int | None, text: str | None, common: frozenset[str]) -> tuple:
 
 
 def common_words(documents: DataFrame, size: int = COMMON_WORDS) -> frozenset[str]:
-    """The ``size`` words that stand in most documents, ties by word, if they stand in 3 of them and in one of a
+    """The words that stand in most documents, at most ``size``, if they stand in 3 of them and in one of a
     thousand. Counts are over all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,9 +177,9 @@ def common_words(documents: DataFrame, size: int = COMMON_WORDS) -> frozenset[st
         yield pd.DataFrame(held.items(), columns=["word", "n"])
 
     counted = documents.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size + 1).collect()
-    least = max(3, max((r["n"] for r in top if not r["word"]), default=0) // 1000)
-    return frozenset(r["word"] for r in top if r["word"] and r["n"] >= least)
+    counted = cut(counted.groupBy("word").agg(F.sum("n").alias("n")).where("n >= 3"))
+    rows = counted.where("word = ''").agg(F.max("n")).first()[0] or 0
+    return frozenset(r["word"] for r in most_frequent(counted.where((F.col("word") != "") & (F.col("n") >= rows // 1000)), "n", size))
 
 
 def statistics(documents: DataFrame) -> DataFrame:
@@ -225,8 +226,6 @@ def learn(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def text_types(documents: DataFrame) -> DataFrame:
     """The statistics with ``text_class`` and its ``posterior``."""
-    from quern.runtime import cut
-
     stats = cut(statistics(documents))
     patterns = stats.where(F.size("votes") > 0).groupBy("votes").count().orderBy(F.desc("count")).limit(MAX_PATTERNS).toPandas()
     if not len(patterns):

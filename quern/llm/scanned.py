@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.boosting import Boosted
-from quern.runtime import cut
+from quern.runtime import cut, hashed_sample
 
 #: Bound of each labelled sample that a classifier here is fitted on.
 FIT_ROWS = 12_000
@@ -378,9 +378,10 @@ def _misread(word: str, rng: np.random.Generator) -> str:
 def fit_ranker(pairs: DataFrame, words: DataFrame, seed: int = 7) -> Boosted:
     """Ranker of corrections. Positives: trusted words misread at random, with the packet counts that
     words with a digit or sign inside have; negatives: pairs of two established words."""
-    trusted = words.where((F.col("packets") >= TRUSTED_PACKETS) & F.col("spoken") & F.col("word").rlike("^[a-z]{4,}$")).orderBy(F.xxhash64("word")).limit(FIT_ROWS // 4).collect()
-    odd = words.where(F.col("spoken") & F.col("word").rlike("^[a-z]+[0-9!|$]+[a-z]+$")).orderBy(F.xxhash64("word")).limit(2000).collect()
-    counts = np.array([r["packets"] for r in odd] or [1, 1, 2])
+    trusted = hashed_sample(words.where((F.col("packets") >= TRUSTED_PACKETS) & F.col("spoken") & F.col("word").rlike("^[a-z]{4,}$")), FIT_ROWS // 4, "word")
+    odd = hashed_sample(words.where(F.col("spoken") & F.col("word").rlike("^[a-z]+[0-9!|$]+[a-z]+$")), 2000, "word")
+    trusted.sort(key=lambda r: r["word"])
+    counts = np.sort(np.array([r["packets"] for r in odd] or [1, 1, 2]))
     rng = np.random.default_rng(seed)
     x, y = [], []
     known = {r["word"] for r in trusted}
@@ -395,7 +396,7 @@ def fit_ranker(pairs: DataFrame, words: DataFrame, seed: int = 7) -> Boosted:
                     x.append(pair_features(bad, 1.0, other["word"], float(other["packets"])))
                     y.append(0.0)
     settled = pairs.where((F.col("read_df") >= 3 * TRUSTED_PACKETS) & F.col("read").rlike("^[a-z]+$") & (F.col("true_df") < 30 * F.col("read_df")))
-    for r in settled.orderBy(F.xxhash64("read", "true")).limit(FIT_ROWS // 4).collect():
+    for r in sorted(hashed_sample(settled, FIT_ROWS // 4, "read", "true"), key=lambda r: (r["read"], r["true"])):
         x.append(list(r["f"]))
         y.append(0.0)
     return Boosted(trees=40, depth=3).fit(np.array(x or [[0.0] * 10]), np.array(y or [0.0]))
@@ -425,7 +426,7 @@ def _fit_furniture(lines: DataFrame, number: bool, seed: int = 11) -> Boosted:
     A header label is agreement with the document's own name or recurrence within the document; these
     very features are blanked in half of the positives, so that layout alone has to carry them.
     """
-    rows = lines.orderBy(F.xxhash64("packet_id", "n")).select("kind", "f", "recurs").limit(FIT_ROWS).collect()
+    rows = sorted(hashed_sample(lines.select("packet_id", "n", "kind", "f", "recurs"), FIT_ROWS, "packet_id", "n"), key=lambda r: (r["packet_id"], r["n"]))
     rng = np.random.default_rng(seed)
     x, y = [], []
     for r in rows:
@@ -441,7 +442,8 @@ def _fit_furniture(lines: DataFrame, number: bool, seed: int = 11) -> Boosted:
             continue
         if is_number:
             continue
-        if r["kind"] == "n":
+        # A line of its own that fills the width, recurs nowhere and shares no word with the document's name is running text.
+        if r["kind"] == "n" or (f[0] == 0 and f[11] == 1 and f[18] == 1 and f[4] < 0.15 and f[8] == 0):
             x.append(f)
             y.append(0.0)
         elif f[7] == 0 and (f[0] >= 0.6 or f[11] >= 2 or f[18] >= 2):
@@ -454,8 +456,8 @@ def _fit_furniture(lines: DataFrame, number: bool, seed: int = 11) -> Boosted:
 
 def _fit_joiner(counts: DataFrame, seed: int = 5) -> Boosted:
     """Line-pair classifier for cut words: whole words split at random against compounds split at their hyphen."""
-    words = counts.where("kind = 'w' and packets >= 3").where(F.length("a") >= 5).orderBy(F.xxhash64("a")).limit(FIT_ROWS // 4).collect()
-    compounds = counts.where("kind = 'c' and packets >= 2").orderBy(F.xxhash64("a")).limit(FIT_ROWS // 4).collect()
+    words = sorted(hashed_sample(counts.where("kind = 'w' and packets >= 3").where(F.length("a") >= 5), FIT_ROWS // 4, "a"), key=lambda r: r["a"])
+    compounds = sorted(hashed_sample(counts.where("kind = 'c' and packets >= 2"), FIT_ROWS // 4, "a"), key=lambda r: r["a"])
     rng = np.random.default_rng(seed)
     x, y = [], []
     for r in words:
@@ -481,8 +483,8 @@ def findings(packets: DataFrame) -> DataFrame:
     """Every finding: packet_id, noise_kind, n (line, -1 for a word), a (as read), b (right part or correction)."""
     rows = cut(rows_of(packets))
     here = F.when(F.col("kind") == "w", F.size("ids")).otherwise(F.col("n"))
-    counts = cut(rows.where("kind in ('w', 'c')").groupBy("kind", "a").agg(F.sum(here).alias("packets"), F.min("n").alias("name_only")))
-    words = counts.where("kind = 'w'").select(F.col("a").alias("word"), "packets", (F.col("name_only") == 0).alias("spoken"))
+    counts = cut(rows.where("kind in ('w', 'c')").groupBy("kind", "a").agg(F.sum(here).alias("packets"), F.sum(F.when((F.col("kind") == "w") & (F.col("n") == 0), F.size("ids")).otherwise(0)).alias("plain")))
+    words = counts.where("kind = 'w'").select(F.col("a").alias("word"), "packets", (F.col("plain") * 2 > F.col("packets")).alias("spoken"))  # else it is a name for the most part
 
     lines = rows.where("kind in ('l', 'n')")
     recurs = lines.where("kind = 'l' and document_key is not null").groupBy("document_key", "a").agg(F.count("*").alias("recurs"))
