@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import extract, graph, overlap, prose, structure
+from quern.operators import extract, graph, overlap, prose, structure, textrules
 from quern.runtime import table
 
 
@@ -58,6 +58,12 @@ QUERIES = {
     "q_domain_distribution": lambda s, f: extract.classify(_t(s, f, "source_document"), _rules(s), "document_key", [F.col("title"), F.col("source_pdf"), F.col("category")]).groupBy("domain").agg(F.count("*").alias("documents"), F.round(F.avg("confidence"), 4).alias("confidence")),
     "q_lifecycle": lambda s, f: extract.lifecycle(_t(s, f, "rewrite_packet"), "packet_id", "source_segment"),
     "q_command_coverage": lambda s, f: command_coverage(s, f),
+    "q_package_findings": lambda s, f: textrules.package_findings(_t(s, f, "rewrite_packet"), _t(s, f, "knowledge_card"), _t(s, f, "similarity_input")),
+    "q_typed_facts": lambda s, f: textrules.typed_facts(_t(s, f, "rewrite_packet"), "packet_id", "source_segment"),
+    "q_fence_leaks": lambda s, f: textrules.fence_leaks(_t(s, f, "rewrite_packet"), "packet_id", "source_segment"),
+    "q_unfenced_commands": lambda s, f: textrules.unfenced_commands(_t(s, f, "rewrite_packet"), "packet_id", "source_segment"),
+    "q_cited_without_section": lambda s, f: _t(s, f, "knowledge_card").select(F.regexp_extract(F.coalesce("citation_key", F.lit("")), r"\[([^\]\s]+)", 1).alias("anchor")).where("anchor <> ''").distinct().join(
+        structure.sections(_t(s, f, "rewrite_packet"), "packet_id", "source_segment").select("anchor"), "anchor", "left_anti"),
     "q_reference_bfs": lambda s, f: graph.reachable(_links(s, f), _links(s, f).select(F.col("src").alias("node")), 4),
 }
 
@@ -97,6 +103,14 @@ SQL = {
     "q_domain_classify": "WITH " + CLASSIFY + " SELECT * FROM cl",
     "q_domain_distribution": "WITH " + CLASSIFY + " SELECT domain, count(*) AS documents, round(avg(confidence), 4) AS confidence FROM cl GROUP BY 1",
     "q_lifecycle": f"SELECT *, CASE WHEN greatest(day0, day1, day2, day2plus) >= 3 THEN CASE greatest(day0, day1, day2, day2plus) WHEN day0 THEN 'day0' WHEN day1 THEN 'day1' WHEN day2 THEN 'day2' ELSE 'day2plus' END ELSE 'day0' END AS tag FROM (SELECT packet_id, {LIFE} FROM (SELECT packet_id, lower(coalesce(source_segment, '')) AS t FROM rewrite_packet))",
+    "q_package_findings": """WITH c AS (SELECT *, upper(regexp_replace(coalesce(mark, ''), '[^A-Za-z]', '', 'g')) AS m, regexp_replace(regexp_replace(lower(fact), '[^\\p{L}\\p{N}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS k FROM knowledge_card)
+      SELECT 'size' AS "check", CAST(packet_id AS VARCHAR) AS subject FROM rewrite_packet WHERE strlen(source_segment) > 12288
+      UNION ALL SELECT 'citation', CAST(card_id AS VARCHAR) FROM c WHERE coalesce(trim(citation_key), '') = '' UNION ALL SELECT 'mark', CAST(card_id AS VARCHAR) FROM c WHERE m NOT IN ('MUST', 'SHOULD', 'INFO')
+      UNION ALL SELECT 'duplicate', CAST(card_id AS VARCHAR) FROM (SELECT card_id, min(card_id) OVER (PARTITION BY k) AS low FROM c WHERE fact IS NOT NULL) WHERE card_id > low
+      UNION ALL SELECT 'orphan', CAST(card_id AS VARCHAR) FROM c WHERE generated_path IS NOT NULL AND generated_path NOT IN (SELECT generated_path FROM similarity_input WHERE generated_path IS NOT NULL)
+      UNION ALL SELECT 'zero', generated_path FROM (SELECT DISTINCT generated_path FROM similarity_input WHERE generated_path IS NOT NULL) WHERE generated_path NOT IN (SELECT generated_path FROM c WHERE generated_path IS NOT NULL)""",
+    "q_fence_leaks": "WITH " + LINES + " SELECT packet_id, line_no, line FROM d WHERE fenced AND regexp_matches(line, '^[A-Z][a-z]+(?: \\S+){4,}[.]$')",
+    "q_unfenced_commands": "WITH " + LINES + ", h AS (SELECT *, regexp_extract(line, '^(\\w+)', 1) IN ('set','show','delete','edit','commit','request','clear') AND NOT regexp_matches(line, '[.,;:]|\\b(?:the|a|an|of|to|if)\\b') AS hit FROM d WHERE NOT fenced), r AS (SELECT *, line_no - row_number() OVER (PARTITION BY packet_id, hit ORDER BY line_no) AS run FROM h) SELECT packet_id, line_no, line, count(*) OVER (PARTITION BY packet_id, run) > 1 AS fence FROM r WHERE hit",
     "q_reference_bfs": """WITH RECURSIVE e AS (SELECT DISTINCT part_key AS src, duplicate_of AS dst FROM source_part WHERE duplicate_of IS NOT NULL), w AS (
       SELECT DISTINCT src AS start, src AS node, 0 AS depth FROM e UNION SELECT w.start, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 4)
       SELECT start, node, min(depth) AS depth FROM w GROUP BY 1, 2""",

@@ -203,3 +203,23 @@ def test_watcher(spark, tmp_path):
     whole = {r["file"].split("\n")[2]: (r["stable"], r["samples"]) for r in watcher.summaries(spark.createDataFrame(first + second, schema)).collect()}
     assert whole == got
     assert watcher.summaries(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_text_rules(spark):
+    from quern.operators import textrules
+
+    s = spark.createDataFrame([(1, 0, "Warning: hot part."), (1, 1, "Caution: steam can burn."), (1, 2, "Utilize it.")], "doc_id long, no int, sentence string")
+    assert [r["no"] for r in textrules.warnings_without_consequence(s).collect()] == [0]
+    d = spark.createDataFrame([("utilize", False, "use"), ("hot", False, "x"), ("hot", True, None)], "word string, approved boolean, alternatives string")
+    assert [(r["no"], r["word"], r["alternatives"]) for r in textrules.unapproved_words(s, d).collect()] == [(2, "utilize", "use")]
+    t = spark.createDataFrame([("a", "# One\n[x](b#two) [y](c) [z](#one) [w](https://e.org) [v](#no)\n```\n[q](none)\n```"), ("b", "# Two")], "k string, t string")
+    broken = textrules.broken_links(textrules.links(t, "k", "t"), structure.sections(t, "k", "t").select("k", "anchor"), "k")
+    assert {(r["target"], r["reason"]) for r in broken.collect()} == {("c", "no file"), ("#no", "no anchor")}
+    f = spark.createDataFrame([(1, "```\nset a 1\nThis line is plain prose here.\n```\nset b 2\nset c 3\n\nset the valve.\nmode = fast\nA pump is a machine")], "k long, t string")
+    assert [r["line_no"] for r in textrules.fence_leaks(f, "k", "t").collect()] == [3]
+    assert [(r["line"], r["fence"]) for r in textrules.unfenced_commands(f, "k", "t").orderBy("line_no").collect()] == [("set b 2", True), ("set c 3", True)]
+    assert {r["kind"] for r in textrules.typed_facts(f, "k", "t").collect()} == {"configuration", "definition"}
+    art = spark.createDataFrame([(1, "# a\n# b\n# c\n# d\n# e\nbody"), (2, "# a\nbody"), (3, None)], "k long, t string")
+    assert [r["t"] for r in textrules.drop_cover_art(art, "k", "t").orderBy("k").collect()] == ["body", "# a\nbody", None]
+    m = spark.createDataFrame([("p", "'''Doc.'''\nimport logging\n# note\nlogging.info('said')\n")], "path string, source string")
+    assert {(r["kind"], r["text"]) for r in textrules.python_prose(m).collect()} == {("docstring", "Doc."), ("comment", "note"), ("log", "said")}
