@@ -86,15 +86,20 @@ def successors(unit_rows: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
     """packet_id, at (start of a piece), end, next (start of the piece after), level of the cut.
 
     Of the ends within reach the coarsest level wins, then the farthest. The end of the segment is coarsest.
-    A unit starts in one block and its reach ends in that or the next one, so each boundary stands in two blocks.
+    Every start looks back from the end of its reach for the last end of each level: one running pass over
+    boundaries in order. A reach lies within its block and the one before, so each end stands in two blocks.
     """
     reach = limit - overlap
-    block = F.floor(F.col("end") / reach).cast("int")
-    ends = unit_rows.select("packet_id", F.col("end").alias("pos"), F.lit(None).cast("int").alias("at"), F.struct(F.col("level"), (-F.col("end")).alias("far"), F.col("next").alias("next")).alias("cut"), F.explode(F.array(block, block - 1)).alias("block"))
-    starts = unit_rows.select("packet_id", F.col("start").alias("pos"), F.col("start").alias("at"), F.lit(None).cast(ends.schema["cut"].dataType).alias("cut"), F.floor(F.col("start") / reach).cast("int").alias("block"))
-    within = Window.partitionBy("packet_id", "block").orderBy("pos").rangeBetween(1, reach)
-    best = ends.unionByName(starts).withColumn("best", F.min("cut").over(within)).where("at is not null")
-    return best.select("packet_id", "at", (-F.col("best.far")).alias("end"), F.col("best.next").alias("next"), F.col("best.level").alias("level"))
+    block = F.floor(F.col("pos") / reach).cast("int")
+    ends = unit_rows.select("packet_id", F.col("end").alias("pos"), F.lit(0).alias("asks"), F.lit(None).cast("int").alias("at"), "level", F.struct("end", "next").alias("cut"))
+    asks = unit_rows.select("packet_id", (F.col("start") + reach).alias("pos"), F.lit(1).alias("asks"), F.col("start").alias("at"), F.lit(None).cast("int").alias("level"), F.lit(None).cast(ends.schema["cut"].dataType).alias("cut"))
+    rows = ends.withColumn("block", F.explode(F.array(block, block + 1))).unionByName(asks.withColumn("block", block))
+    so_far = Window.partitionBy("packet_id", "block").orderBy("pos", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    levels = range(-1, len(LEVELS))
+    for k in levels:
+        rows = rows.withColumn(f"last{k + 1}", F.last(F.when(F.col("level") == k, F.col("cut")), ignorenulls=True).over(so_far))
+    best = F.coalesce(*[F.when(F.col(f"last{k + 1}.end") > F.col("at"), F.struct(F.lit(k).alias("level"), f"last{k + 1}.end", f"last{k + 1}.next")) for k in levels])
+    return rows.where("asks = 1").select("packet_id", "at", best.alias("b")).select("packet_id", "at", "b.end", "b.next", "b.level")
 
 
 def cuts(packets: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
