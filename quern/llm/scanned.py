@@ -377,7 +377,8 @@ def _misread(word: str, rng: np.random.Generator) -> str:
 
 def fit_ranker(pairs: DataFrame, words: DataFrame, seed: int = 7) -> Boosted:
     """Ranker of corrections. Positives: trusted words misread at random, with the packet counts that
-    words with a digit or sign inside have; negatives: pairs of two established words."""
+    words with a digit or sign inside have; negatives: the same at counts near the word's own, and pairs of
+    two established words."""
     trusted = hashed_sample(words.where((F.col("packets") >= TRUSTED_PACKETS) & F.col("spoken") & F.col("word").rlike("^[a-z]{4,}$")), FIT_ROWS // 4, "word")
     odd = hashed_sample(words.where(F.col("spoken") & F.col("word").rlike("^[a-z]+[0-9!|$]+[a-z]+$")), 2000, "word")
     trusted.sort(key=lambda r: r["word"])
@@ -392,6 +393,11 @@ def fit_ranker(pairs: DataFrame, words: DataFrame, seed: int = 7) -> Boosted:
                 x.append(pair_features(bad, float(min(rng.choice(counts), r["packets"])), r["word"], float(r["packets"])))
                 y.append(1.0)
                 other = trusted[int(rng.integers(len(trusted)))]
+                # A look-alike that is nearly as frequent as the word itself is a word of its own.
+                often = r["packets"] / float(rng.uniform(1, 12))
+                if often >= 6:
+                    x.append(pair_features(bad, often, r["word"], float(r["packets"])))
+                    y.append(0.0)
                 if abs(len(other["word"]) - len(bad)) < 3 and other["word"] != r["word"]:
                     x.append(pair_features(bad, 1.0, other["word"], float(other["packets"])))
                     y.append(0.0)
@@ -414,7 +420,10 @@ def corrections(words: DataFrame) -> DataFrame:
                 yield b[["read", "true", "true_df", "score"]]
 
     scored = pairs.mapInPandas(rank, "read string, true string, true_df long, score double").where("score >= 0.5")
-    return scored.groupBy("read").agg(F.max_by("true", F.struct("score", "true_df", "true")).alias("true"), F.max("score").alias("score"))
+    best = cut(scored.groupBy("read").agg(F.max_by("true", F.struct("score", "true_df", "true")).alias("true"), F.max("score").alias("score")))
+    # The choice may be a frequent misreading itself; then its own correction stands.
+    then = best.select(F.col("read").alias("true"), F.col("true").alias("after"))
+    return best.join(then, "true", "left").where(F.coalesce("after", "true") != F.col("read")).select("read", F.coalesce("after", "true").alias("true"), "score")
 
 
 # ---- the operator ------------------------------------------------------------------------------------
