@@ -118,9 +118,11 @@ def token_cost(text: Column) -> Column:
 
 def control_positions(text: Column) -> Column:
     """Zero-based positions of control characters other than tab, line feed and carriage return."""
-    n = F.length(text)
-    at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(1)).rlike(r"^[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]$"))
-    return F.when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"), F.transform(at, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+    control = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p) + 1).alias("at"), F.concat(a["out"], F.array(a["at"] + F.length(p))).alias("out"))
+    found = F.aggregate(F.split(text, control), start, step, lambda a: F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1))
+    return F.when(text.rlike(control), found).otherwise(F.array().cast("array<int>"))
 
 
 def page_bounds(page_range: Column) -> Column:

@@ -77,7 +77,7 @@ QUERIES = {
     "q_code_metrics": lambda s, f: codeqa.function_metrics(_modules(s)),
     "q_code_untested": lambda s, f: codeqa.untested(_modules(s).where(~F.col("path").startswith("tests/")), _modules(s).where(F.col("path").startswith("tests/"))),
     "q_nearest_roots": lambda s, f: gates.nearest_names(table(s, f, "source_part").select(F.col("root_name").alias("name")), table(s, f, "source_root").select(F.col("root_name").alias("name"))),
-    "q_number_allocation": lambda s, f: gates.free_numbers(table(s, f, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("name"), (F.col("n_nationkey") + 500).alias("number")), table(s, f, "nation").select(F.col("n_name").alias("name")), 500, 1500),
+    "q_number_allocation": lambda s, f: gates.free_numbers(table(s, f, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("name"), (F.col("n_nationkey") + 500).alias("number")), table(s, f, "nation").select(F.col("n_name").alias("name")), 500, 1500),
 }
 
 
@@ -113,5 +113,5 @@ SQL = {
     "q_versioned_changes": "SELECT 'insert' AS _change, count(*) FILTER (WHERE card_id <= (SELECT count(*) // 2 FROM knowledge_card) OR mark IS NOT NULL) AS n, count(DISTINCT card_id) FILTER (WHERE card_id <= (SELECT count(*) // 2 FROM knowledge_card) OR mark IS NOT NULL) AS cards FROM knowledge_card UNION ALL SELECT 'delete', count(*), count(DISTINCT card_id) FROM knowledge_card WHERE mark IS NULL AND card_id <= (SELECT count(*) // 2 FROM knowledge_card)",
     "q_upsert": "SELECT document_key, coalesce(max(pages), 0) AS pages FROM source_document GROUP BY 1",
     "q_nearest_roots": "WITH n AS (SELECT DISTINCT root_name AS stale FROM source_part WHERE root_name NOT IN (SELECT root_name FROM source_root)), d AS (SELECT stale, root_name, levenshtein(stale, root_name) AS k FROM n, source_root), b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY stale ORDER BY k, root_name) = 1) SELECT stale, CASE WHEN k <= length(stale) // 2 THEN root_name END AS nearest, CASE WHEN k <= length(stale) // 2 THEN k END AS distance FROM b",
-    "q_number_allocation": "WITH taken AS (SELECT n_name AS name, n_nationkey + 500 AS number FROM nation WHERE n_nationkey % 3 = 0), fresh AS (SELECT n_name AS name, row_number() OVER (ORDER BY n_name) AS k FROM nation WHERE n_nationkey % 3 <> 0), free AS (SELECT x AS number, row_number() OVER (ORDER BY x) AS k FROM range(500, 1501) r(x) WHERE x NOT IN (SELECT number FROM taken)) SELECT name, CAST(number AS INT) AS number FROM taken UNION ALL SELECT name, CAST(number AS INT) FROM fresh JOIN free USING (k)",
+    "q_number_allocation": "WITH taken AS (SELECT n_name AS name, n_nationkey + 500 AS number FROM nation WHERE n_regionkey = 1), fresh AS (SELECT n_name AS name, row_number() OVER (ORDER BY n_name) AS k FROM nation WHERE n_regionkey <> 1), free AS (SELECT x AS number, row_number() OVER (ORDER BY x) AS k FROM range(500, 1501) r(x) WHERE x NOT IN (SELECT number FROM taken)) SELECT name, CAST(number AS INT) AS number FROM taken UNION ALL SELECT name, CAST(number AS INT) FROM fresh JOIN free USING (k)",
 }
