@@ -35,7 +35,7 @@ SHORT = 80
 LENGTHS = (8, 16, 32, SHORT, 200)
 #: Mass of the corpus law in each class's smoothing, as a multiple of the class's own mass. Slots stand amid
 #: ordinary prose, so foreign words hardly speak against a placeholder; they do against the rest.
-SMOOTH = np.array([8.0, 0.1, 0.1, 0.1])
+SMOOTH = np.array([40.0, 0.1, 0.1, 0.1])
 #: A feature speaks for a placeholder if the class holds it this many times as often as the corpus.
 OVER = 20.0
 #: Features counted less often than this say nothing, and posteriors under ``DOUBT`` count for nothing:
@@ -46,6 +46,11 @@ DOUBT = 0.2
 MAYBE = 0.5
 #: How much the other passages of a record add to the odds of their class.
 COHERE = 50.0
+#: A record with more characters than this per word is no running text; a passage of LONG_PASSAGE words or more
+#: of which a smaller share than REPEATED is different repeats itself. Neither is an error page or a notice.
+DENSE = 15
+LONG_PASSAGE = 40
+REPEATED = 0.3
 #: A passage is kept for the EM if its best class is at most this far behind the background, in nats.
 KEEP = -12.0
 
@@ -213,9 +218,11 @@ class Model:
     def scores(self, ids: np.ndarray, starts: np.ndarray, pairs: np.ndarray, pair_starts: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Log odds of every passage, classes by column."""
         out = np.empty((len(starts) - 1, len(KINDS)))
+        slot = np.maximum.reduceat(ids == _IDS[_SLOT_WORD], starts[:-1]) if len(starts) > 1 else np.zeros(0, bool)
         for k, odds in enumerate(self.odds):
             out[:, k] = np.add.reduceat(odds[ids], starts[:-1], dtype=np.float64) + np.add.reduceat(odds[pairs], pair_starts[:-1], dtype=np.float64)
             out[:, k] += odds[FEATURES + bucket] + self.prior[k]
+        out[~slot, 0] = -np.inf  # a placeholder is a slot that was never filled
         return out
 
 
@@ -256,8 +263,14 @@ def passages(documents: DataFrame) -> tuple[DataFrame, Model]:
                 if not len(record):
                     continue
                 bucket = np.searchsorted(LENGTHS, size[record])
-                best = now.scores(ids, starts, pairs, starts, bucket).max(axis=1)
-                kept = (best > KEEP) | (size[record] <= SHORT)
+                odds = now.scores(ids, starts, pairs, starts, bucket)
+                # Runs without blanks are no words, and the same lines again and again are no message.
+                chars = np.array([len(t) if t else 0 for t in b["text"].iloc[lo : lo + len(size)]])
+                n = np.diff(starts)
+                no_text = (chars > DENSE * size)[record]
+                for p in np.flatnonzero((n >= LONG_PASSAGE) & ~no_text & (odds[:, 2:].max(axis=1) > KEEP)):
+                    no_text[p] = len(np.unique(ids[starts[p] : starts[p + 1]])) < REPEATED * n[p]
+                kept = np.where(no_text, odds[:, :2].max(axis=1) > 0, (odds.max(axis=1) > KEEP) | (size[record] <= SHORT))
                 rows = []
                 for d in np.unique(record[kept]):
                     lo_p, hi_p = np.searchsorted(record, [d, d + 1])
