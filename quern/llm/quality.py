@@ -57,7 +57,7 @@ def _cells(s: str) -> int:
         return gaps + 1
     for sign in (",", ";", "|", ":"):
         n = s.count(sign)
-        if n >= 2 and s.count(sign + " ") * 2 < n:
+        if n >= 2 and s.count(sign + " ") * 2 < n and len(s) <= 40 * (n + 1):
             return n + 1
     return 1
 
