@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.runtime import cut
 
 MIN_TEXT_CHARS = 400
 MIN_LETTERS = 80
@@ -44,7 +45,7 @@ def calibrated_threshold(values: DataFrame, name: str) -> float:
 
     The greater quotient of upper to lower value wins ties; without a gap the pair (0.06, 0.10) stands.
     """
-    v = values.select(F.col(name).alias("v"), F.floor(F.col(name) * BUCKETS).alias("b")).where("v is not null and v >= 0.01")
+    v = cut(values.select(F.col(name).alias("v"), F.floor(F.col(name) * BUCKETS).alias("b")).where("v is not null and v >= 0.01"))
     edges = v.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     # Between buckets: a window over at most BUCKETS rows up to 1 (ratios above fall in few more). Within: one bucket each.
     between = edges.select(F.col("hi").alias("lower"), F.lead("lo").over(Window.orderBy("b")).alias("upper"))
@@ -57,7 +58,7 @@ def calibrated_threshold(values: DataFrame, name: str) -> float:
 
 def percentiles(values: DataFrame, name: str, points: tuple[int, ...] = (0, 5, 25, 50, 75, 95, 100)) -> DataFrame:
     """point, value: nearest rank, round(p / 100 * (n - 1)) with halves to even, without interpolation."""
-    v = values.where(F.col(name).isNotNull()).select(F.col(name).cast("double").alias("v"))
+    v = cut(values.where(F.col(name).isNotNull()).select(F.col(name).cast("double").alias("v")))  # read four times below
     bound = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     if bound["lo"] is None:
         return values.sparkSession.createDataFrame([], "point int, value double")
@@ -90,6 +91,7 @@ def gate(documents: DataFrame, threshold: float | None = FIXED_THRESHOLD) -> Dat
     """doc_id, status, score, blocked for every document; ``threshold`` None calibrates it from the corpus first."""
     r = ratios(documents)
     if threshold is None:
+        r = cut(r)
         threshold = calibrated_threshold(r, "space_ratio")
     cut_off = F.lit(float(threshold))
     st = status(cut_off)
