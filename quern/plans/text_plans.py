@@ -113,8 +113,8 @@ SQL = {
     "q_unfenced_commands": "WITH " + LINES + ", h AS (SELECT *, regexp_extract(line, '^(\\w+)', 1) IN ('set','show','delete','edit','commit','request','clear') AND NOT regexp_matches(line, '[.,;:]|\\b(?:the|a|an|of|to|if)\\b') AS hit FROM d WHERE NOT fenced), r AS (SELECT *, line_no - row_number() OVER (PARTITION BY packet_id, hit ORDER BY line_no) AS run FROM h) SELECT packet_id, line_no, line, count(*) OVER (PARTITION BY packet_id, run) > 1 AS fence FROM r WHERE hit",
     "q_cited_without_section": "WITH " + LINES + """, g AS (SELECT packet_id, section, min(CASE WHEN is_heading THEN regexp_replace(line, '^#{1,6} +', '') END) AS title FROM d GROUP BY 1, 2),
       k AS (SELECT packet_id, section, regexp_replace(regexp_replace(lower(regexp_replace(coalesce(title, ''), '^\\s+|\\s+$', '', 'g')), '[^\\p{L}\\p{N}\\s_-]', '', 'g'), '\\s', '-', 'g') AS slug FROM g),
-      n AS (SELECT slug, row_number() OVER (PARTITION BY packet_id, slug ORDER BY section) - 1 AS r FROM k), a AS (SELECT CASE WHEN r > 0 THEN slug || '-' || r ELSE slug END AS anchor FROM n)
-      SELECT DISTINCT regexp_extract(citation_key, '\\[([^\\]\\s]+)', 1) AS anchor FROM knowledge_card WHERE regexp_extract(coalesce(citation_key, ''), '\\[([^\\]\\s]+)', 1) NOT IN (SELECT anchor FROM a) AND regexp_extract(coalesce(citation_key, ''), '\\[([^\\]\\s]+)', 1) <> ''""",
+      n AS (SELECT slug, row_number() OVER (PARTITION BY packet_id, slug ORDER BY section) - 1 AS r FROM k), spots AS (SELECT CASE WHEN r > 0 THEN slug || '-' || r ELSE slug END AS anchor FROM n)
+      SELECT DISTINCT regexp_extract(citation_key, '\\[([^\\]\\s]+)', 1) AS anchor FROM knowledge_card WHERE regexp_extract(coalesce(citation_key, ''), '\\[([^\\]\\s]+)', 1) NOT IN (SELECT anchor FROM spots) AND regexp_extract(coalesce(citation_key, ''), '\\[([^\\]\\s]+)', 1) <> ''""",
     "q_reference_bfs": """WITH RECURSIVE e AS (SELECT DISTINCT part_key AS src, duplicate_of AS dst FROM source_part WHERE duplicate_of IS NOT NULL), w AS (
       SELECT DISTINCT src AS start, src AS node, 0 AS depth FROM e UNION SELECT w.start, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 4)
       SELECT start, node, min(depth) AS depth FROM w GROUP BY 1, 2""",
