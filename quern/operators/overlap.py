@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 
+# Seed length and the bands of shared words.
 SEED, WARN, FAIL = 8, 8, 12
 
 

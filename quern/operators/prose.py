@@ -23,6 +23,7 @@ PATTERNS = {
 }
 WEIGHTS = {"length": 3.0, "passive": 2.0, "tense": 1.0, "cluster": 1.0, "contraction": 1.0, "latin": 1.0, "phrasal": 0.5, "gender": 0.5, "semicolon": 1.0, "paragraph": 1.0}
 ABBREVIATIONS = ("e.g.", "i.e.", "etc.", "vs.", "fig.", "no.", "approx.", "min.", "max.", "dr.", "mr.", "ms.", "cf.", "viz.")
+# Most words of a sentence by mode, sentences of a paragraph, nouns in a row.
 PROCEDURAL, DESCRIPTIVE, PARAGRAPH, CLUSTER = 20, 25, 6, 3
 IMPERATIVE = ("set", "use", "open", "close", "start", "stop", "check", "connect", "remove", "install", "reset", "repair", "read", "press", "turn", "wait", "replace", "select", "bypass", "edit", "move", "save")
 BE = ("is", "are", "was", "were", "be", "been", "being")

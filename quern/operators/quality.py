@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.runtime import cut
 
+# Limits of the gate.
 MIN_TEXT_CHARS = 400
 MIN_LETTERS = 80
 REPEATED_LIMIT = 0.45

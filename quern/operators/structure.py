@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 
+# Sizes of packed segments in bytes.
 SOFT, HARD, TINY = 12_288, 20_480, 2_048
 
 
