@@ -6,7 +6,7 @@ the budget ends, and only there prefix sums run over single documents. A source
 spread over all its buckets.
 
 Defined results: spellings of a source fold (case, blanks, underscore); documents without a listed source
-are left out; null or empty texts have 0 tokens and ride along free; a listed source without documents is
+or without a doc_id are left out; repeated rows of one doc_id count as often as they stand; null or empty texts have 0 tokens and ride along free; a listed source without documents is
 reported with zeros; an empty target gives no rows.
 """
 
@@ -52,7 +52,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": [len(encode(t)) if t else 0 for t in b["text"]]})
 
-    return documents.select(F.col("doc_id").cast("long"), source_key(F.col("source")).alias("source"), "text").mapInPandas(count, "doc_id long, source string, tokens long")
+    return documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), source_key(F.col("source")).alias("source"), "text").mapInPandas(count, "doc_id long, source string, tokens long")
 
 
 def _targets(mix: DataFrame) -> DataFrame:
