@@ -46,8 +46,9 @@ DOUBT = 0.2
 MAYBE = 0.5
 #: How much the other passages of a record add to the odds of their class.
 COHERE = 50.0
-#: A record with more characters than this per word is no running text; a passage of LONG_PASSAGE words or more
-#: of which a smaller share than REPEATED is different repeats itself. Neither is an error page or a notice.
+#: A passage with more letters than this per word, in a record that has more too, is no running text unless its
+#: record is trusted; a passage of LONG_PASSAGE words or more of which a smaller share than REPEATED is different
+#: repeats itself. Neither is an error page or a notice.
 DENSE = 15
 LONG_PASSAGE = 40
 REPEATED = 0.3
@@ -113,16 +114,19 @@ def _plain(text: str) -> str:
     return _BREAK.sub(lambda m: f"{m.group(1) or ''} \ue000 ", text)
 
 
-def _records(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Word ids of all passages of the texts, passage starts (plus the end), record of each passage, plain texts."""
+def _records(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Word ids of all passages of the texts, passage starts (plus the end), record and letters of each passage, plain texts."""
     plain = [_plain(t) if t else "" for t in texts]
-    raw = np.fromiter(map(_IDS.__getitem__, _TOKEN(" \ue001 ".join(plain).lower())), dtype=np.int64)
+    tokens = _TOKEN(" \ue001 ".join(plain).lower())
+    raw = np.fromiter(map(_IDS.__getitem__, tokens), dtype=np.int64)
+    long = np.fromiter(map(len, tokens), dtype=np.int64)
     record = np.cumsum(raw == RECORD)
     passage = np.cumsum(raw < 0)
     words = raw >= 0
     ids, passage, record = raw[words], passage[words], record[words]
     starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(ids) else np.zeros(0, np.int64)
-    return ids, np.r_[starts, len(ids)], record[starts] if len(ids) else record, plain
+    letters = np.add.reduceat(long[words], starts) if len(ids) else long[words]
+    return ids, np.r_[starts, len(ids)], record[starts] if len(ids) else record, letters, plain
 
 
 def _pairs(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -153,10 +157,10 @@ def _label(kind: int, texts: list[str]) -> list[int]:
     return [kind if pattern.search(t) else -2 - kind for t in texts]
 
 
-def _split(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per chunk: first row, ids, pair ids, passage starts, record of passage, words of record, label of passage."""
+def _split(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per chunk: first row, ids, pair ids, passage starts, record of passage, words of record, label and letters of passage."""
     for lo, hi in chunks(texts):
-        ids, starts, record, plain = _records(texts[lo:hi])
+        ids, starts, record, letters, plain = _records(texts[lo:hi])
         size = np.bincount(record, weights=np.diff(starts), minlength=hi - lo).astype(np.int64) if len(record) else np.zeros(hi - lo, np.int64)
         label = np.full(len(record), -1)
         first = np.searchsorted(record, np.arange(hi - lo + 1))
@@ -166,7 +170,7 @@ def _split(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarra
                 parts = [p for p in plain[k].split("\ue000") if _TOKEN(p.replace("\ue001", " "))]
                 if len(parts) == first[k + 1] - first[k]:
                     label[first[k] : first[k + 1]] = _label(kind, parts)
-        yield lo, ids, _pairs(ids, starts), starts, record, size, label
+        yield lo, ids, _pairs(ids, starts), starts, record, size, label, letters
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,7 +178,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(FEATURES + len(LENGTHS) + 1)
     held = np.zeros((len(KINDS), FEATURES + len(LENGTHS) + 1))
     for b in batches:
-        for _, ids, pairs, starts, record, size, label in _split(b["text"].tolist()):
+        for _, ids, pairs, starts, record, size, label, _ in _split(b["text"].tolist()):
             if not len(record):
                 continue
             total[:HALF] += np.bincount(ids, minlength=HALF)
@@ -259,15 +263,15 @@ def passages(documents: DataFrame) -> tuple[DataFrame, Model]:
         now: Model = shared.value
         for b in batches:
             doc = b["doc_id"].to_numpy()
-            for lo, ids, pairs, starts, record, size, label in _split(b["text"].tolist()):
+            for lo, ids, pairs, starts, record, size, label, letters in _split(b["text"].tolist()):
                 if not len(record):
                     continue
                 bucket = np.searchsorted(LENGTHS, size[record])
                 odds = now.scores(ids, starts, pairs, starts, bucket)
                 # Runs without blanks are no words, and the same lines again and again are no message.
-                chars = np.array([len(t) if t else 0 for t in b["text"].iloc[lo : lo + len(size)]])
                 n = np.diff(starts)
-                no_text = (chars > DENSE * size)[record]
+                whole = np.bincount(record, weights=letters, minlength=len(size))
+                no_text = (letters > DENSE * n) & (whole > DENSE * size)[record] & (label == -1)
                 for p in np.flatnonzero((n >= LONG_PASSAGE) & ~no_text & (odds[:, 2:].max(axis=1) > KEEP)):
                     no_text[p] = len(np.unique(ids[starts[p] : starts[p + 1]])) < REPEATED * n[p]
                 kept = np.where(no_text, odds[:, :2].max(axis=1) > 0, (odds.max(axis=1) > KEEP) | (size[record] <= SHORT))

@@ -59,3 +59,14 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "404 Not Found", 1, ""), (1, None, 1, ""), (2, "", 1, ""), (3, " ", 1, ""), (4, "plain " * 100_000, 1, ""), (5, "404 Not Found", 1, ""), (5, "404 Not Found", 1, "")], DOCS)
     assert {tuple(r)[:2] for r in residue.residue(df).collect()} <= {(5, "error_page")}
     assert residue.residue(df.limit(0)).count() == 0
+
+
+def test_code_and_dense_passages_beside_a_message(spark):
+    rows, _ = corpus()
+    frames = "\n".join(f'  File "/srv/app/handlers/module_{i}.py", line {i}, in dispatch_request_{i}' for i in range(400))
+    fence = f"\n\n```\n{frames}\n```"
+    glued = "Thevalvereadsthegaugebeforethepumpstartsandclosestherelayaftereveryfirstswitchofthepanel" * 4
+    tail = "The upstream worker did not answer in time."
+    rows += [(400, "500 Internal Server Error" + fence), (401, rows[0][1] + "\n\n" + tail + fence), (402, glued + "\n\n" + tail), (403, "Error 403: Forbidden\n\n" + glued), (404, glued)]
+    got = {r["doc_id"]: r["residue_kind"] for r in residue.residue(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], DOCS)).collect()}
+    assert {i: got.get(i) for i in range(400, 405)} == {400: "error_page", 401: "error_page", 402: "error_page", 403: "error_page", 404: None}
