@@ -5,25 +5,37 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import most_frequent
+from quern.runtime import cut, most_frequent, salted_join
 
 LONGEST = 32
-#: Words of the vocabulary that are broadcast, most frequent first; bounds what every task holds.
+#: Words of the vocabulary that are broadcast, most frequent first; bounds what every task holds. The rest is joined.
 VOCABULARY = 100_000
+#: Bits of the filter that spares the join most runs that are no word: 2 ** BITS at most. It never turns a word away.
+BITS = 28
+_RUNS = r"[^\W\d_]+|\d+"
 
 
-def segment(text: str, logs: dict[str, float], unknown: float) -> list[str]:
-    """The most likely words of a run of letters: a Viterbi pass over cuts of at most LONGEST characters."""
+def segment(text: str, logs: dict[str, float], unknown: float, rare: dict[str, float] | None = None) -> list[str]:
+    """The most likely words of a run of letters: a Viterbi pass over cuts of at most LONGEST characters.
+
+    ``rare`` has the words of the text that ``logs`` has not.
+    """
+    rare = rare or {}
+    foreign = [unknown - 2.3 * n for n in range(LONGEST + 1)]
     best: list[tuple[float, int]] = [(0.0, 0)]
     for end in range(1, len(text) + 1):
         top = (-math.inf, end - 1)
         for at in range(max(0, end - LONGEST), end):
             w = text[at:end]
-            score = best[at][0] + logs.get(w, unknown - 2.3 * len(w))
+            log = logs.get(w)
+            if log is None:
+                log = rare.get(w, foreign[end - at])
+            score = best[at][0] + log
             if score > top[0]:
                 top = (score, at)
         best.append(top)
@@ -35,21 +47,94 @@ def segment(text: str, logs: dict[str, float], unknown: float) -> list[str]:
     return out[::-1]
 
 
+def _places(codes: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length up to LONGEST: the two filter places of every run of that many characters."""
+    h = np.zeros(len(codes), np.uint64)
+    for n in range(1, min(LONGEST, len(codes)) + 1):
+        h = h[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+        mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        yield mixed >> np.uint64(64 - bits), (mixed * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - bits)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _filter(words: DataFrame, bits: int) -> np.ndarray:
+    """Bit set of both places of every word; 2 ** bits bits reach the driver, whatever the number of words."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            last = [list(_places(_codes(w), bits))[-1] for w in b["word"]]
+            yield pd.DataFrame({"place": np.array(last, dtype=np.int64).ravel() + 1})
+
+    place = F.col("place")
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    maps = words.select("word").mapInPandas(places, "place long").groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m"))
+    for r in maps.toLocalIterator():
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    return out
+
+
+def _with_rare(rows: DataFrame, rare: DataFrame) -> DataFrame:
+    """k, t, rare: the words of ``rare`` (word, n) that occur anywhere in the text, with their counts.
+
+    Texts are matched by hash: one that shares the hash of another has the other's words too, which changes nothing.
+    """
+    bits = min(max((16 * rare.count()).bit_length(), 18), BITS)
+    held = rows.sparkSession.sparkContext.broadcast(_filter(rare, bits))
+
+    def occur(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        for b in batches:
+            hashes, words = [], []
+            for h, t in zip(b["h"], b["t"], strict=True):
+                runs = " ".join(re.findall(_RUNS, (t or "").lower()))
+                found = set()
+                for n, places in enumerate(_places(_codes(runs), bits), 1):
+                    ok = np.ones(len(places[0]), bool)
+                    for p in places:
+                        ok[ok] = (held.value[p[ok] >> np.uint64(3)] >> (p[ok] & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    found.update(runs[at : at + n] for at in np.flatnonzero(ok).tolist())
+                hashes += [h] * len(found)
+                words += found
+                if len(words) > 100_000:
+                    yield pd.DataFrame({"h": hashes, "word": words})
+                    hashes, words = [], []
+            if words:
+                yield pd.DataFrame({"h": hashes, "word": words})
+
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    met = cut(rows.select("h", "t").mapInPandas(occur, "h long, word string").distinct())
+    known = salted_join(met, rare, "word", "h").where(F.col("n").isNotNull()).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("rare"))
+    return salted_join(rows, known, "h", "k").select("k", "t", "rare")
+
+
 def segmented(texts: DataFrame, counts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, words: runs of letters cut into likely words; ``counts`` has word and n. Null and empty texts give none."""
-    top = most_frequent(counts.where(F.col("word").rlike(r"^\p{L}+$")), "n", VOCABULARY)
-    total = sum(r["n"] for r in top) or 1
+    """key, words: runs of letters cut into likely words; ``counts`` has word and n, one row a word. Null and empty texts give none.
+
+    Every word of ``counts`` counts: the most frequent are broadcast, the others joined to the texts that hold them.
+    """
+    known = cut(counts.where(F.col("word").rlike(r"^\p{L}+$") & (F.col("n") > 0)).select("word", "n"))
+    top = most_frequent(known, "n", VOCABULARY)
+    total = known.agg(F.sum("n")).first()[0] or 1
     held = texts.sparkSession.sparkContext.broadcast({r["word"]: math.log(r["n"] / total) for r in top})
+    rest = known.where(F.col("n") < min(r["n"] for r in top)) if top else known
+    rest = rest.where(F.length("word") <= LONGEST)
+    rows = texts.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = _with_rare(rows, rest) if len(rest.take(1)) else rows.withColumn("rare", F.lit(None).cast("map<string,bigint>"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
 
         for b in batches:
-            b["words"] = [[w for part in re.findall(r"[^\W\d_]+|\d+", (t or "").lower()) for w in segment(part, held.value, -math.log(total))] for t in b["t"]]
+            rare = [{w: math.log(n / total) for w, n in r.items()} if r else {} for r in b["rare"]]
+            b["words"] = [[w for part in re.findall(_RUNS, (t or "").lower()) for w in segment(part, held.value, -math.log(total), r)] for t, r in zip(b["t"], rare, strict=True)]
             yield b[["k", "words"]]
 
     kind = dict(texts.dtypes)[key]
-    return texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, words array<string>").withColumnRenamed("k", key)
+    return rows.mapInPandas(run, f"k {kind}, words array<string>").withColumnRenamed("k", key)
 
 
 def accuracy(rows: DataFrame, got: str, wanted: str) -> DataFrame:

@@ -165,6 +165,18 @@ def test_repair(spark):
     assert tuple(repair.recall_precision(m, found, truth).first()) == ("r", 2 / 3, 2 / 3)
 
 
+def test_segments_know_every_word(spark, monkeypatch):
+    counts = spark.createDataFrame([("the", 50), ("pump", 20), ("closes", 10), ("gaugette", 1), ("él", 1), ("zu", 1), ("never", 1)], "word string, n long")
+    rows = [(1, "thegaugettecloses"), (2, None), (None, "pumpélthezu"), (3, ""), (4, "ThePump 12 closes"), (4, "thegaugettecloses"), (5, "thepump")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut_in = lambda: sorted((str(r["doc_id"]), r["words"]) for r in repair.segmented(df, counts, "doc_id", "text").collect())
+    whole = cut_in()
+    for held in (3, 2, 0):
+        monkeypatch.setattr(repair, "VOCABULARY", held)
+        assert cut_in() == whole
+    assert ("1", ["the", "gaugette", "closes"]) in whole and ("None", ["pump", "él", "the", "zu"]) in whole and len(whole) == 7
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a" / "sub").mkdir(parents=True)
     (tmp_path / "a" / "sub" / "x.md").write_text("---\nTitle: One\ntitle: 'Two'\npages: 3\n---\nbody <!-- page 7 -->")
