@@ -75,7 +75,8 @@ _FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
 _SHOWN = re.compile(r"`[^`\n]{1,200}`|\"[^\"\n]{1,120}\"|“[^”\n]{1,120}”|«[^»\n]{1,120}»|„[^“\n]{1,120}“")
 _BREAK = re.compile(r"\n[ \t]*\n\s*|(?<=[.!?])\n|(?<=\n)(?=#)|(?<=^)(#[^\n]*)\n")
 _TOKEN = re.compile(r"[^\W_]+|[\ue000\ue001]").findall
-_SIGNS = ("{", "[", "<", "%", "@", "__", "xx", "XX", "TODO", "todo", "TBD", "FIXME", "to be ")
+#: Every slot has one of these in lower case.
+_SIGNS = ("{", "[", "<", "%", "@", "__", "xxx", "todo", "tbd", "tba", "tbc", "fixme", "to be ")
 PARAGRAPH, RECORD = -1, -2
 _SLOT_WORD = "slotof"
 
@@ -109,7 +110,8 @@ def _plain(text: str) -> str:
         text = _FENCE.sub("\n\n", text)
     if "`" in text or '"' in text or "“" in text or "«" in text:
         text = _SHOWN.sub(" ", text)
-    if any(s in text for s in _SIGNS):
+    lower = text.lower()
+    if any(s in lower for s in _SIGNS):
         text = _SLOT.sub(lambda m: f" {_SLOT_WORD} {_SLOT_WORD}{m.lastgroup} ", text)
     return _BREAK.sub(lambda m: f"{m.group(1) or ''} \ue000 ", text)
 

@@ -70,3 +70,11 @@ def test_code_and_dense_passages_beside_a_message(spark):
     rows += [(400, "500 Internal Server Error" + fence), (401, rows[0][1] + "\n\n" + tail + fence), (402, glued + "\n\n" + tail), (403, "Error 403: Forbidden\n\n" + glued), (404, glued)]
     got = {r["doc_id"]: r["residue_kind"] for r in residue.residue(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], DOCS)).collect()}
     assert {i: got.get(i) for i in range(400, 405)} == {400: "error_page", 401: "error_page", 402: "error_page", 403: "error_page", 404: None}
+
+
+def test_every_way_to_write_a_slot_is_seen():
+    ways = ["{{a}}", "${a}", "#{a}", "{% a %}", "<%= a %>", "[[pump]]", "<<pump>>", "%%pump%%", "@@pump@@", "__pump__", "%pump%", "xxx-pump-xxx", "XXX-pump-XXX", "<your name>", "[INSERT name]"]
+    ways += [f"{a}{w}{b}" for a, b in ("<>", "[]", "()") for x in ("tbd", "tba", "tbc", "todo", "xxx") for w in (x, x.upper(), x.title(), f" {x} by May")]
+    ways += [f"{w}: later" for x in ("todo", "fixme", "tbd") for w in (x, x.upper(), x.title())]
+    ways += [f"({w})" for x in ("supplied", "added", "confirmed", "determined", "written", "defined") for w in (f"name to be {x}", f"NAME TO BE {x.upper()}", f"Name To Be {x.title()}")]
+    assert [w for w in ways if "slotof" not in residue._plain(f"The pump is {w} here")] == []
