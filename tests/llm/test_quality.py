@@ -51,3 +51,9 @@ def test_odd_rows(spark):
     assert None not in {r["doc_id"] for r in quality.not_prose(df).collect()}
     assert quality.not_prose(df.limit(0)).count() == 0
     assert quality.text_types(df.limit(0)).count() == 0
+
+
+def test_no_pattern_of_votes_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_PATTERNS", 2, raising=False)
+    df = spark.createDataFrame([(i, t, "v", "w") for i, (_, t) in corpus().items()], SCHEMA)
+    assert "empty" not in {r["text_class"] for r in quality.text_types(df).collect()}
