@@ -103,7 +103,10 @@ def pairs(cards: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def shares(cards: DataFrame, inputs: DataFrame) -> DataFrame:
-    """record_kind, record, words, shared_words, share, longest: for each fact and generated path, the words that stand in a span of another record too."""
+    """record_kind, record, words, shared_words, share, longest: for each fact and generated path, the words that stand in a span of another record too.
+
+    ``longest`` is a lower bound of the longest shared span, in steps of the levels.
+    """
     every = cut(texts(cards, inputs))
     known = levels(every)
     all_words = every.groupBy("record").agg(F.sum("words").alias("words"))
