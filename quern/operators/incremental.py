@@ -1,8 +1,10 @@
 """Processing only new or changed records.
 
-The unit of bookkeeping is a manifest: the set of entries (key columns, content token) that make up one
-version of a table. ``manifest_delta`` compares two of them. ``pending_files`` derives both manifests of
-watched files from an event log, the one that the last successful run processed and the present one.
+The logs of samples and of queue events are versioned tables. ``refresh_pending`` diffs the manifests of their
+present versions against the versions that the output's last commit names: added files, removed files and deletion
+vectors yield the records that came or went, these name the documents to look at again, and the new output rows
+and the processed versions are one commit. Within a document, ``pending_files`` compares the content that its last
+successful run processed with the present one; ``manifest_delta`` does the same for any two sets of entries.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import salted_join
+from quern.runtime import cut, salted_join
+from quern.sources.versioned import VersionedTable
 
 
 def manifest_delta(old: DataFrame, new: DataFrame, keys: list[str], token: str) -> DataFrame:
@@ -98,3 +101,32 @@ def pending_files(samples: DataFrame, work: DataFrame) -> DataFrame:
         ).alias("e"),
     ).select(*keys, "e.side", "e.token")
     return manifest_delta(entries.where("side = 'old'"), entries.where("side = 'new'"), keys, "token").select(*keys, "change")
+
+
+def refresh_pending(samples: VersionedTable, work: VersionedTable, sink: VersionedTable) -> int:
+    """Bring the table of pending files in ``sink`` up to the present versions of the two logs; returns its version.
+
+    Only documents with a record that came or went since the versions that ``sink`` last committed are decided
+    again, from all their records; the rows of all others stay where they are. A run that dies leaves ``sink`` and
+    the versions it names as they were. Nothing new: no commit.
+    """
+    base = sink.version()
+    done = sink.manifest(base)["progress"]
+    logs = {"samples": samples, "work": work}
+    now = {n: t.version() for n, t in logs.items()}
+    if base and all(done.get(n, 0) == v for n, v in now.items()):
+        return base
+    delta = {n: t.changes(done.get(n, 0), now[n]) for n, t in logs.items()}
+    if not base:  # all records are new
+        return sink.commit(pending_files(*(delta[n].drop("_change") for n in logs)), now, base)
+    named = [d.select("document_key") for d in delta.values() if d is not None]
+    if not named:
+        return sink.commit(None, now, base)
+    touched = cut(reduce(DataFrame.unionByName, named).distinct())
+
+    def of_touched(df: DataFrame) -> DataFrame:
+        a, b = df.alias("a"), touched.alias("b")
+        return a.join(b, F.col("a.document_key").eqNullSafe(F.col("b.document_key")), "left_semi")
+
+    fresh = pending_files(*(of_touched(t.read(now[n])) for n, t in logs.items()))
+    return sink.commit(fresh, now, base, hide=of_touched(sink.rows(base)))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quern.operators import codeqa, gates, incremental, quality, repair
-from quern.runtime import shared_folder, table
+from quern.runtime import fresh_folder, table
 from quern.sources import readers
 from quern.sources.versioned import VersionedTable, process_new
 from quern.streaming import watcher
@@ -32,12 +30,16 @@ def _all_findings(s):
     return codeqa.suppressed(found, m)
 
 
-def _fresh(s, name):
-    return f"{shared_folder(s).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
+def quiet_states(s, f, batches=3):
+    """The sample log streamed in several micro-batches; samples that arrived late stand in later ones."""
+    root = fresh_folder(s, "watch")
+    # One file per range of arrival; the stream may take them in any order.
+    table(s, f, "file_sample").repartitionByRange(batches, "arrived_at").write.parquet(f"{root}/samples")
+    return watcher.watch(s, f"{root}/samples", f"{root}/watch", files_per_batch=1).read()
 
 
 def quiet_gate(s, f):
-    states = watcher.watch(s, f"{f}/file_sample.parquet", _fresh(s, "watch")).read()
+    states = quiet_states(s, f)
     part = F.split("file", "\n")
     return states.select(part[0].alias("document_key"), part[1].alias("root_name"), part[2].alias("relative_path"), "size_bytes", "modified_ns", "stable", "samples")
 
@@ -45,7 +47,7 @@ def quiet_gate(s, f):
 def versioned_changes(s, f):
     """Two appends and a delete of the card table, read back as changes by a consumer that keeps its progress."""
     cards = table(s, f, "knowledge_card").select("card_id", "mark", "citation_key")
-    source, sink = VersionedTable(s, _fresh(s, "source")), VersionedTable(s, _fresh(s, "sink"))
+    source, sink = VersionedTable(s, fresh_folder(s, "source")), VersionedTable(s, fresh_folder(s, "sink"))
     half = F.col("card_id") <= cards.count() // 2
     source.commit(cards.where(half))
     process_new(source, sink, "cards", lambda d: d)
@@ -56,7 +58,7 @@ def versioned_changes(s, f):
 
 
 def upserted(s, f):
-    t = VersionedTable(s, _fresh(s, "upsert"))
+    t = VersionedTable(s, fresh_folder(s, "upsert"))
     d = table(s, f, "source_document").groupBy("document_key").agg(F.max("pages").alias("pages"))
     readers.upsert(t, d, ["document_key"])
     readers.upsert(t, d.where("pages is null").withColumn("pages", F.lit(0)), ["document_key"])
@@ -65,7 +67,7 @@ def upserted(s, f):
 
 QUERIES = {
     "s_quiet_gate": quiet_gate,
-    "s_ready_documents": lambda s, f: watcher.ready_sets(watcher.folded(None, watcher.summaries(table(s, f, "file_sample"))), table(s, f, "file_sample").select(F.concat_ws("\n", "document_key", "root_name", "relative_path").alias("file"), F.col("document_key").alias("group"))),
+    "s_ready_documents": lambda s, f: watcher.ready_sets(quiet_states(s, f), table(s, f, "file_sample").select(F.concat_ws("\n", "document_key", "root_name", "relative_path").alias("file"), F.col("document_key").alias("group"))),
     "q_file_states": lambda s, f: incremental.file_states(table(s, f, "file_sample"), table(s, f, "work_item")).select("document_key", "root_name", "relative_path", "present_hash", "processed_hash"),
     "q_pending_kinds": lambda s, f: incremental.pending_files(table(s, f, "file_sample"), table(s, f, "work_item")).groupBy("change").agg(F.count("*").alias("files")),
     "q_versioned_changes": versioned_changes,

@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.operators import incremental
 from quern.plans import flow_plans, inventory_plans, quality_plans, text_plans
-from quern.runtime import table
+from quern.runtime import fresh_folder
+from quern.sources.versioned import VersionedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    pending = incremental.pending_files(table(spark, folder, "file_sample"), table(spark, folder, "work_item"))
-    return pending.select("document_key", "relative_path").distinct()
+    """The logs are taken in as first versions where they lie; the output table names the versions it has processed."""
+    root = fresh_folder(spark, "pending")
+    samples, work, sink = (VersionedTable(spark, f"{root}/{n}") for n in ("samples", "work", "pending"))
+    samples.commit(adopt=[f"{folder}/file_sample.parquet"])
+    work.commit(adopt=[f"{folder}/work_item.parquet"])
+    incremental.refresh_pending(samples, work, sink)
+    return sink.read().select("document_key", "relative_path").distinct()
 
 
 P6_FOUND = """

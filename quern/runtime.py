@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     found = tempfile.mkdtemp(prefix="quern-checkpoint-")
+    atexit.register(shutil.rmtree, found, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -53,9 +57,21 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    # Unless the cluster decides otherwise, a checkpoint goes with the last frame that reads it.
+    spark.sparkContext._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager)
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one query's tables in the shared folder. It is deleted when the session's file systems close."""
+    folder = f"{shared_folder(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; an upper bound for scans, filters and projections of them."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -109,9 +125,19 @@ def most_frequent(counted: DataFrame, count: str, at_most: int) -> list:
 
 
 def hashed_sample(df: DataFrame, rows: int, *key: str) -> list:
-    """About ``rows`` rows at most, chosen by the hash of their key: the same on any partitioning, never gathered to be chosen."""
+    """About ``rows`` rows at most, one per key, chosen by the hash of the key: the same on any partitioning, never gathered to be chosen.
+
+    The share is a threshold on 63 bits of the hash, so it holds at any number of rows. A table whose few keys all
+    miss the threshold (many repeated rows of each) gives one row of every key instead; a sample that is
+    empty although the table is not is an error, since a classifier fitted on nothing would answer silently.
+    """
     n = df.count()
-    if n > rows:
-        share = int(1_000_000 * rows / n)
-        df = df.where(F.pmod(F.xxhash64(F.lit(17), *key), F.lit(1_000_000)) < share)
-    return df.collect()
+    if n <= rows:
+        return df.dropDuplicates(list(key)).collect()
+    at = F.xxhash64(F.lit(17), *key).bitwiseAND(F.lit((1 << 63) - 1))
+    found = df.where(at < F.lit((1 << 63) * rows // n)).dropDuplicates(list(key)).collect()
+    if not found:
+        found = df.dropDuplicates(list(key)).limit(rows).collect()
+    if not found:
+        raise ValueError(f"no row of {n} was sampled")
+    return found

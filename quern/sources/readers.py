@@ -87,12 +87,8 @@ def api_endpoints(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def upsert(table: VersionedTable, rows: DataFrame, keys: list[str]) -> int:
-    """Rows replace those of the same keys, as one new version."""
-    base = table.version()
-    if table.manifest(base)["files"]:
-        kept = table.read(base).join(rows.select(*keys).distinct(), keys, "left_anti")
-        rows = kept.unionByName(rows, allowMissingColumns=True)
-    return table.commit(rows, base=base, replace=True)
+    """Rows replace those of the same keys, as one new version; see ``VersionedTable.upsert``."""
+    return table.upsert(rows, keys)
 
 
 def write_topics(segments: DataFrame, folder: str) -> None:
@@ -104,17 +100,23 @@ def write_tsv(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").option("sep", "\t").option("header", "true").csv(folder)
 
 
-def canonical_json(rows: DataFrame, order: list[str], limit: int = 100_000) -> str:
-    """A report of at most ``limit`` rows as JSON with sorted keys and a total order: equal input, equal bytes."""
-    found = [r.asDict(recursive=True) for r in rows.orderBy(*order).limit(limit).collect()]
+def canonical_json(rows: DataFrame, order: list[str]) -> str:
+    """A report as JSON with sorted keys and a total order: equal input, equal bytes. For results that fit a report;
+    larger ones go to ``write_json``."""
+    found = [r.asDict(recursive=True) for r in rows.orderBy(*order).toLocalIterator()]
     return json.dumps(found, sort_keys=True, indent=2, ensure_ascii=False, default=str) + "\n"
 
 
-def markdown_report(title: str, rows: DataFrame, order: list[str], limit: int = 1000) -> str:
-    """A small result as a Markdown table, cells escaped."""
+def write_json(rows: DataFrame, folder: str) -> None:
+    """Every row as one JSON object with sorted keys, whatever the size."""
+    rows.select(*sorted(rows.columns)).write.mode("overwrite").json(folder)
+
+
+def markdown_report(title: str, rows: DataFrame, order: list[str]) -> str:
+    """A result as a Markdown table, cells escaped; all rows of it."""
     from quern.functions.text import cell
 
     shown = rows.select(*[cell(F.col(c).cast("string")).alias(c) for c in rows.columns]) if rows.columns else rows
     head = ["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
-    body_lines = ["| " + " | ".join("" if v is None else v for v in r) + " |" for r in shown.orderBy(*order).limit(limit).collect()]
+    body_lines = ["| " + " | ".join("" if v is None else v for v in r) + " |" for r in shown.orderBy(*order).toLocalIterator()]
     return "\n".join([f"# {title}", "", *head, *body_lines]) + "\n"

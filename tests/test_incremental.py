@@ -100,3 +100,100 @@ def test_upsert(spark, tmp_path):
     readers.upsert(t, spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), ["k"])
     readers.upsert(t, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])
     assert sorted(map(tuple, t.read().collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_upsert_changes_only_what_changed(spark, tmp_path):
+    t = VersionedTable(spark, f"{tmp_path}/u")
+    t.upsert(spark.range(1000).selectExpr("id k", "id % 7 v"), ["k"])
+    t.upsert(spark.createDataFrame([(5, 100), (6, 6), (2000, 1)], "k long, v long"), ["k"])
+    got = {(r["_change"], r["k"], r["v"]) for r in t.changes(1, 2).collect()}
+    assert got == {("delete", 5, 5), ("insert", 5, 100), ("insert", 2000, 1)} and t.read().count() == 1001
+
+
+def test_writer_that_dies_inside_its_commit_leaves_nothing(spark, tmp_path, monkeypatch):
+    source, sink = VersionedTable(spark, f"{tmp_path}/source"), VersionedTable(spark, f"{tmp_path}/sink")
+    source.commit(spark.range(10))
+
+    def dies(self, aside, target):
+        raise RuntimeError("lost")
+
+    for moment in ("_create", "_publish"):
+        with monkeypatch.context() as m:
+            m.setattr(VersionedTable, moment, dies if moment == "_publish" else lambda *a: dies(None, None, None))
+            with pytest.raises(RuntimeError):
+                process_new(source, sink, "job", lambda d: d)
+        assert sink.version() == 0 and sink.manifest(0)["progress"] == {}
+    assert process_new(source, sink, "job", lambda d: d) == 1 and sink.read().count() == 10
+
+
+def test_refresh_is_exact_over_versions_and_failures(spark, tmp_path, monkeypatch):
+    tables = {n: VersionedTable(spark, f"{tmp_path}/{n}") for n in ("samples", "work", "sink")}
+    steps = [
+        ([sample(1, "a", "x", 1, "h1"), sample(2, "b", "x", 1, "h1"), sample(3, None, "x", 1, "h")], run("a", 1, 3, 5)),
+        ([sample(4, "a", "x", 8, "h2"), sample(5, "c", "x", 2, "h1")], []),
+        ([sample(6, "b", "x", 0, "h0")], run("b", 1, 3, 5)),
+        ([], run("a", 2, 9, 10)),
+        ([sample(7, None, "x", 4, "h2", stable=1)], [("c", 1, "done", at(3))]),
+    ]
+    seen_s, seen_w = [], []
+    for k, (s, w) in enumerate(steps):
+        seen_s, seen_w = seen_s + s, seen_w + w
+        if s:
+            tables["samples"].commit(spark.createDataFrame(s, SAMPLES))
+        if w or not k:
+            tables["work"].commit(spark.createDataFrame([(*x, 1) for x in w], WORK))
+        with monkeypatch.context() as m:  # the run dies inside its commit
+            m.setattr(VersionedTable, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+            with pytest.raises(RuntimeError):
+                incremental.refresh_pending(*tables.values())
+        version = incremental.refresh_pending(*tables.values())
+        assert incremental.refresh_pending(*tables.values()) == version
+        got = {(r["document_key"], r["relative_path"]): r["change"] for r in tables["sink"].read().collect()}
+        assert got == pending(spark, seen_s, seen_w), k
+
+
+def test_late_samples(spark, tmp_path):
+    import os
+
+    from quern.streaming import watcher
+
+    def row(i, hour, size, doc="a"):
+        return (i, doc, "r", "x", size, 1, 0, "h", at(hour) if hour is not None else None, "x", 1)
+
+    batches = [[row(1, 1, 2), row(2, 3, 2), row(9, None, 2)], [row(3, 2, 1), row(8, 1, 5, "b")], [row(4, 5, 2), row(5, 4, 2), row(7, 2, 5, "b")], [row(6, 5, 3), row(10, 9, 5, "b")]]
+    os.makedirs(f"{tmp_path}/in")
+    root, source = f"{tmp_path}/w", f"{tmp_path}/in"
+    for k, b in enumerate(batches):
+        spark.createDataFrame(b, SAMPLES).coalesce(1).write.mode("append").parquet(source)
+        table = watcher.watch(spark, source, root)
+        want = {r["file"]: (r["size_bytes"], r["stable"], r["samples"]) for r in watcher.summaries(spark.createDataFrame(sum(batches[: k + 1], []), SAMPLES)).collect()}
+        assert {r["file"]: (r["size_bytes"], r["stable"], r["samples"]) for r in table.read().collect()} == want, k
+    assert want["a\nr\nx"] == (3, 1, 7) and want["b\nr\nx"] == (5, 3, 3)
+    version = table.version()
+    assert watcher.watch(spark, source, root).version() == version
+    watcher.prune(table, spark.createDataFrame([("b\nr\nx",)], "file string"))
+    assert [r["file"] for r in table.read().collect()] == ["b\nr\nx"]
+    assert watcher.pause(1.0) == 10.0 and watcher.pause(10.0) == 40.0
+
+
+def test_refreshed_queue(spark):
+    from quern.streaming import watcher
+
+    q = spark.createDataFrame([("a", "done", 5), ("b", "done", None), ("c", "leased", 7), ("d", "done", 100_003)], "document_key string, status string, priority int")
+    got = {r["document_key"]: (r["status"], r["priority"]) for r in watcher.refreshed(q, spark.createDataFrame([("a",), ("a",), ("b",), ("d",), ("z",)], "document_key string")).collect()}
+    assert got == {"a": ("pending", 100_005), "b": ("pending", 100_000), "c": ("leased", 7), "d": ("pending", 100_003)}
+
+
+def test_sample_bound_holds_at_any_size(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from quern.runtime import hashed_sample
+
+    df = spark.range(20_000).selectExpr("id k", "id v")
+    assert 800 < len(hashed_sample(df, 1000, "k")) < 1200
+    twice = df.unionByName(df)
+    assert len({r["k"] for r in hashed_sample(twice, 1000, "k")}) == len(hashed_sample(twice, 1000, "k"))
+    assert len(hashed_sample(spark.range(5000).selectExpr("7 k", "7 v"), 100, "k")) == 1
+    with monkeypatch.context() as m:  # a table so large that a share of a millionth would be none
+        m.setattr(DataFrame, "count", lambda self: 10**13)
+        assert hashed_sample(spark.range(200_000).selectExpr("id k"), 10**9, "k")
