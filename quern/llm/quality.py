@@ -12,6 +12,7 @@ kept as it is by ``statistics`` and gives no row in ``not_prose``; repeated rows
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +30,14 @@ COMMON_WORDS = 3000
 TYPES = ("prose", "list", "table", "junk", "residue")
 EM_ROUNDS = 25
 WRAP = 80
+#: A text with a sign of residue for so many words is taken for residue by one of the functions.
+WORDS_A_SIGN = 25
+#: So many short lines without bullets can be a list; fewer are a title and what follows it.
+UNMARKED = 5
+#: Words kept per Python worker; the cache is emptied when it is full.
+CACHE_WORDS = 400_000
+#: Bits of one of the counts that are summed together.
+PACK = 40
 
 # First words of command lines, as in the stored structured_ratio.
 COMMANDS = frozenset({"set", "show", "delete", "edit", "commit", "request", "clear"})
@@ -92,53 +101,82 @@ def line_kinds(lines: list[str]) -> tuple[dict[str, float], Counter]:
     return out, cells
 
 
-def _votes(text: str, lines: list[str], tokens: list[str], stat: dict[str, float], common: float) -> list[int]:
-    """One vote per labelling function: a type's number, or -1 where it abstains."""
+class _Words(dict):
+    """What a word counts for, packed into one number so that a text takes one sum: common, readable, with a digit, two hex digits."""
+
+    def __init__(self, common: frozenset[str]) -> None:
+        super().__init__()
+        self.common = common
+
+    def __missing__(self, w: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        readable = len(w) <= 18 and (w[0].isdigit() or not w.isascii() and len(w) > 2 or any(c in "aeiouy" for c in w))
+        dump = len(w) == 2 and w[0] in _HEX and w[1] in _HEX
+        value = self[w] = (w in self.common) | readable << PACK | any(c.isdigit() for c in w) << 2 * PACK | dump << 3 * PACK
+        return value
+
+    def counts(self, tokens: list[str]) -> tuple[int, int, int, int]:
+        total, mask = sum(map(self.__getitem__, tokens)), (1 << PACK) - 1
+        return total & mask, total >> PACK & mask, total >> 2 * PACK & mask, total >> 3 * PACK
+
+
+def _surely(share: float, n: int) -> float:
+    """Lower end of the interval in which a share seen in n words lies: few words say less, whatever their share."""
+    return (share + 2 / n - 2 * math.sqrt(share * (1 - share) / n + 1 / n**2)) / (1 + 4 / n) if n else 0.0
+
+
+def _votes(text: str, lines: list[str], tokens: list[str], stat: dict[str, float], counts: tuple[int, int, int, int]) -> list[int]:
+    """One vote per labelling function: a type's number, or -1 where it abstains.
+
+    Several lines are two or more, of lines without any mark ``UNMARKED`` or more; no function asks for a least
+    length beyond that, and shares of words are judged by what their number can say.
+    """
     kinds, cells = line_kinds(lines)
     whole = sum(kinds.values()) or 1.0
     entry, short, row, prose = (kinds[k] / whole for k in ("entry", "short", "row", "prose"))
     n = len(lines)
     distinct = len(set(lines)) / n
-    readable = sum(1 for w in tokens if len(w) <= 18 and (w[0].isdigit() or not w.isascii() and len(w) > 2 or any(c in "aeiouy" for c in w))) / max(len(tokens), 1)
+    common, readable, digits = (c / max(len(tokens), 1) for c in counts[:3])
     most = cells.most_common(1)[0][1] / max(sum(cells.values()), 1) if cells else 0.0
     per_line = len(tokens) / n
-    dump = sum(1 for w in tokens if len(w) == 2 and w[0] in _HEX and w[1] in _HEX) > 0.5 * len(tokens) > 5
+    dump = counts[3] > 0.5 * len(tokens) and _surely(counts[3] / len(tokens), len(tokens)) > 0.4
     if stat["symbol_ratio"] > 0.5 or dump:  # signs and bytes part no cells
         row = most = 0.0
     vote = [-1] * 16
-    if entry + short > 0.5 and n >= 6 and distinct > 0.4:
+    if entry + short > 0.5 and distinct > 0.4 and (entry > 0.5 and n >= 2 or n >= UNMARKED):
         vote[0] = 1
     elif entry + short < 0.4:
         vote[0] = 0 if prose > 0.5 else -1
-    if entry > 0.5 and n >= 6:
+    if entry > 0.5 and n >= 2:
         vote[1] = 1
-    if short > 0.6 and n >= 8 and distinct > 0.5 and common > 0.45:
+    if short > 0.6 and n >= UNMARKED and distinct > 0.5 and common > 0.45:
         vote[2] = 1
-    if row > 0.5 and n >= 4:
+    if row > 0.5 and n >= 2:
         vote[3] = 2
     elif row < 0.4:
         vote[3] = 0 if prose > 0.5 else -1
-    if row > 0.4 and most > 0.6 and n >= 4:
+    if row > 0.4 and most > 0.6 and n >= 2:
         vote[4] = 2
-    digits = sum(1 for w in tokens if w.isdigit() or any(c.isdigit() for c in w)) / max(len(tokens), 1)
     if row > 0.4 and digits > 0.3 and common < 0.8:
         vote[5] = 2
-    vote[6] = 3 if common < 0.3 and row < 0.5 and len(text) > 200 else 0 if common > 0.75 and prose > 0.5 else -1
+    vote[6] = 3 if common < 0.3 and row < 0.5 and _surely(1 - common, len(tokens)) > 0.5 else 0 if common > 0.75 and prose > 0.5 else -1
     vote[7] = 3 if stat["symbol_ratio"] > 0.4 and row < 0.3 or stat["symbol_ratio"] > 0.55 else -1
-    vote[8] = 3 if n >= 8 and distinct < 0.34 else -1
+    vote[8] = 3 if distinct < 0.34 else -1
     vote[9] = 3 if tokens and (stat["mean_word_length"] > 14 or stat["mean_word_length"] < 2.2 or len(text) / max(text.count(" ") + text.count("\n") + 1, 1) > 25) else -1
-    vote[10] = 3 if readable < 0.55 and len(text) > 200 else 0 if readable > 0.9 and prose > 0.5 else -1
+    vote[10] = 3 if readable < 0.55 and _surely(1 - readable, len(tokens)) > 0.3 else 0 if readable > 0.9 and prose > 0.5 else -1
     vote[11] = 0 if per_line > 7 and prose > 0.6 and common > 0.6 else -1
     ends = sum(text.count(x) for x in (". ", ".\n", "? ", "! ")) + text.endswith((".", "!", "?"))
     vote[12] = 0 if prose > 0.5 and ends * 40 >= len(tokens) and common > 0.5 else -1
-    if len(tokens) <= 70 and n <= 8 and (_SLOT.search(text) or _NOTICE.search(text)) or len(_SLOT.findall(text)) > 2 and common > 0.4:
+    slots = len(_SLOT.findall(text))
+    if (slots + len(_NOTICE.findall(text))) * WORDS_A_SIGN >= len(tokens) or slots > 2 and common > 0.4:
         vote[13] = 4
-    vote[14] = 3 if stat["repeated_line_ratio"] > 0.5 and n >= 8 and row < 0.5 else -1
+    vote[14] = 3 if stat["repeated_line_ratio"] > 0.5 and row < 0.5 else -1
     vote[15] = 3 if dump or not tokens else -1
     return vote
 
 
-def _one(doc_id: int | None, text: str | None, common: frozenset[str]) -> tuple:
+def _one(doc_id: int | None, text: str | None, known: _Words) -> tuple:
     lines = [s for x in (text or "").splitlines() if (s := x.strip())]
     if not lines:
         return (doc_id, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0, [])
@@ -148,14 +186,14 @@ def _one(doc_id: int | None, text: str | None, common: frozenset[str]) -> tuple:
     solid = sum(map(len, text.split()))
     long = [s for s in lines if len(s) >= 8]
     seen = Counter(long)
-    known = sum(map(common.__contains__, tokens)) / len(tokens) if tokens else 0.0
+    counts = known.counts(tokens)
     repeated = sum(n for n in seen.values() if n > 2) / len(long) if long else 0.0
     stat = {"mean_word_length": alnum / len(tokens) if tokens else 0.0, "symbol_ratio": max(solid - alnum, 0) / solid, "repeated_line_ratio": repeated}
     structured = sum(1 for s in lines if s[0] == "|" or s.split(None, 1)[0].lower().strip("`|") in COMMANDS or "  " in s or "\t" in s)
     return (
         doc_id, len(tokens), stat["mean_word_length"], text.count(" ") / letters if letters > 0 else 0.0, stat["symbol_ratio"],
         repeated, structured / len(lines),
-        sum(s[-1] in ".!?…" for s in lines) / len(lines), known, solid, len(lines), _votes(text, lines, tokens, stat, known),
+        sum(s[-1] in ".!?…" for s in lines) / len(lines), counts[0] / len(tokens) if tokens else 0.0, solid, len(lines), _votes(text, lines, tokens, stat, counts),
     )
 
 
@@ -185,8 +223,9 @@ def statistics(documents: DataFrame) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(common_words(documents))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Words(held.value)
         for b in batches:
-            out = [_one(None if i != i else i, t, held.value) for i, t in zip(b["doc_id"], b["text"], strict=True)]
+            out = [_one(None if i != i else i, t, known) for i, t in zip(b["doc_id"], b["text"], strict=True)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in STATS.split(", ")]).astype({"doc_id": "Int64"})
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(measure, STATS)

@@ -53,7 +53,18 @@ def test_odd_rows(spark):
     assert quality.text_types(df.limit(0)).count() == 0
 
 
-def test_no_pattern_of_votes_is_left_out(spark, monkeypatch):
-    monkeypatch.setattr(quality, "MAX_PATTERNS", 2, raising=False)
+def test_short_texts_have_a_type(spark):
+    rows = {i: t for i, (_, t) in corpus().items()}
+    rows |= {
+        200: "- the valve\n- the pump\n- the gauge\n- the filter\n- the motor", 201: "- the valve\n- the pump",
+        202: "valve\t12\npump\t7\ngauge\t9", 203: "Internal use only for staff\n" * 3,
+        204: PROSE, 205: "1) the valve of the pump\n2) the gauge of the motor\n3) the relay",
+    }
+    df = spark.createDataFrame([(i, t, "v", "w") for i, t in rows.items()], SCHEMA)
+    found = {r["doc_id"]: r["text_class"] for r in quality.text_types(df).collect()}
+    assert [found[i] for i in range(200, 206)] == ["list", "list", "table", "junk", "prose", "list"]
+
+
+def test_every_pattern_of_votes_has_a_posterior(spark):
     df = spark.createDataFrame([(i, t, "v", "w") for i, (_, t) in corpus().items()], SCHEMA)
     assert "empty" not in {r["text_class"] for r in quality.text_types(df).collect()}
