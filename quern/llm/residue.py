@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and script notices that stand in place of content.
 
 Passages (paragraphs, without code and quotations) are scored by a naive Bayes model that is learned from
-trusted positive records and unlabelled text only. A first pass over the corpus counts hashed word and
+trusted positive records and unlabelled text only; in the final decision these are scored like all others. A first pass over the corpus counts hashed word and
 word-pair features of all passages; a second keeps those passages that the trusted classes could explain at
 all, and expectation-maximization runs over them as Spark jobs whose results are the bounded count tables
 (``FEATURES`` x classes). The class-conditional word laws are Dirichlet-smoothed with the law of the whole
@@ -29,10 +29,10 @@ KINDS = ("placeholder", "filler", "error_page", "script_notice")
 HALF = 1 << 17
 FEATURES = 2 * HALF
 ROUNDS = 4
-#: Records of at most this many words may be trusted, and their passages are always kept for the EM.
-SHORT = 80
+#: A record with a sign for every so many words is trusted, whatever its length.
+SIGN_WORDS = 80
 #: Upper ends of the record-length buckets, in words.
-LENGTHS = (8, 16, 32, SHORT, 200)
+LENGTHS = (8, 16, 32, 80, 200)
 #: Mass of the corpus law in each class's smoothing, as a multiple of the class's own mass. Slots stand amid
 #: ordinary prose, so foreign words hardly speak against a placeholder; they do against the rest.
 SMOOTH = np.array([40.0, 0.1, 0.1, 0.1])
@@ -57,13 +57,13 @@ KEEP = -12.0
 
 # Ways to write a slot. Each becomes a word of its own.
 SLOTS = {
-    "curlies": r"\{\{[^{}\n]{1,60}\}\}", "dollar": r"\$\{[^{}\n]{1,60}\}", "hash": r"#\{[^{}\n]{1,60}\}", "tag": r"\{%[^%\n]{1,60}%\}", "erb": r"<%=?[^%\n]{1,60}%>",
-    "brackets": r"\[\[\s*[a-z][\w .-]{1,60}\]\]", "angles": r"<<\s*[a-z][\w .-]{2,60}>>", "percents": r"%%[a-z]\w{1,60}%%", "ats": r"@@[a-z]\w{1,60}@@",
-    "unders": r"\b__[a-z][a-z0-9_]{2,60}__", "percent": r"%[a-z][a-z_]{2,60}%", "tbd": r"[<\[(]\s*(?:tbd|tba|tbc|todo|xxx)\b[^<>\[\]()\n]{0,60}[>\])]",
-    "your": r"[<\[]\s*(?:your|insert|enter|add|name of|replace)\b[^<>\[\]\n]{0,60}[>\]]", "supply": r"\([^()\n]{1,60}\bto be (?:supplied|added|confirmed|determined|written|defined)\)",
-    "exes": r"\bx{3,}-[\w-]{1,60}-x{3,}", "todo": r"\b(?:todo|fixme|tbd)\s*:",
+    "curlies": r"\{\{[^{}\n]+\}\}", "dollar": r"\$\{[^{}\n]+\}", "hash": r"#\{[^{}\n]+\}", "tag": r"\{%[^%\n]+%\}", "erb": r"<%=?[^%\n]+%>",
+    "brackets": r"\[\[\s*[a-z][\w .-]+\]\]", "angles": r"<<\s*[a-z][\w .-]{2,}>>", "percents": r"%%[a-z]\w+%%", "ats": r"@@[a-z]\w+@@",
+    "unders": r"\b__[a-z][a-z0-9_]{2,}__", "percent": r"%[a-z][a-z_]{2,}%", "tbd": r"[<\[(]\s*(?:tbd|tba|tbc|todo|xxx)\b[^<>\[\]()\n]*[>\])]",
+    "your": r"[<\[]\s*(?:your|insert|enter|add|name of|replace)\b[^<>\[\]\n]*[>\]]", "supply": r"\([^()\n]+\bto be (?:supplied|added|confirmed|determined|written|defined)\)",
+    "exes": r"\bx{3,}-[\w-]+-x{3,}", "todo": r"\b(?:todo|fixme|tbd)\s*:",
 }
-# Signs that make a short record trusted for a class.
+# Signs that make a record trusted for a class.
 TRUSTED = {
     "filler": r"\blorem ipsum\b|\bdummy text\b|\bfiller (?:text|line)|\b(\w+) \1 \1 \1\b|\basdf\b|\bsample text\b",
     "error_page": r"\b(?:error|status|http)\W{0,3}[45]\d\d\b|\b[45]\d\d\W+(?:not found|forbidden|gone|unauthori[sz]ed|bad|internal|service|gateway|too many)|\bnot found\b|\bservice unavailable\b|\binternal server error\b|\bbad gateway\b|\btoo many requests\b|\bnicht gefunden\b|\bno encontrad[ao]\b|\bnon trouvée\b|\bintrouvable\b|\bsession has expired\b|\baccess denied\b|\btraceback\b",
@@ -71,8 +71,13 @@ TRUSTED = {
 }
 _SLOT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SLOTS.items()), re.I)
 _TRUST = [(KINDS.index(k), re.compile(v, re.I)) for k, v in TRUSTED.items()]
+#: Every sign has one of these in lower case, but for a word that stands four times in a row.
+_CUES = (
+    "lorem ipsum", "dummy text", "filler text", "filler line", "asdf", "sample text", "error", "status", "http", "not found", "forbidden", "gone", "unauthori", "bad", "internal",
+    "service", "gateway", "too many", "nicht gefunden", "no encontrad", "non trouv", "introuvable", "session has expired", "access denied", "traceback", "script", "active content", "your browser",
+)
 _FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
-_SHOWN = re.compile(r"`[^`\n]{1,200}`|\"[^\"\n]{1,120}\"|“[^”\n]{1,120}”|«[^»\n]{1,120}»|„[^“\n]{1,120}“")
+_SHOWN = re.compile(r"`[^`\n]+`|\"[^\"\n]+\"|“[^”\n]+”|«[^»\n]+»|„[^“\n]+“")
 _BREAK = re.compile(r"\n[ \t]*\n\s*|(?<=[.!?])\n|(?<=\n)(?=#)|(?<=^)(#[^\n]*)\n")
 _TOKEN = re.compile(r"[^\W_]+|[\ue000\ue001]").findall
 #: Every slot has one of these in lower case.
@@ -138,16 +143,16 @@ def _pairs(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return HALF + (before * 31 + ids * 7) % HALF
 
 
-def _trusted(plain: str, n: int) -> int:
-    """Class for which a record of n words is trusted, or -1."""
-    if not 0 < n <= SHORT:
-        return -1
+def _trusted(plain: str, n: int, stutters: bool) -> int:
+    """Class for which a record of n words is trusted, or -1: the first with a sign for every ``SIGN_WORDS`` words."""
     slots = plain.count(f" {_SLOT_WORD} ")
     if slots >= 2 and slots * 14 >= n:
         return 0
-    for kind, pattern in _TRUST:
-        if pattern.search(plain):
-            return kind
+    lower = plain.lower()
+    if stutters or any(c in lower for c in _CUES):
+        for kind, pattern in _TRUST:
+            if n <= SIGN_WORDS and pattern.search(plain) or n > SIGN_WORDS and sum(1 for _ in pattern.finditer(plain)) * SIGN_WORDS >= n:
+                return kind
     return -1
 
 
@@ -166,8 +171,11 @@ def _split(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarra
         size = np.bincount(record, weights=np.diff(starts), minlength=hi - lo).astype(np.int64) if len(record) else np.zeros(hi - lo, np.int64)
         label = np.full(len(record), -1)
         first = np.searchsorted(record, np.arange(hi - lo + 1))
-        for k in np.flatnonzero((size > 0) & (size <= SHORT)):
-            kind = _trusted(plain[k], int(size[k]))
+        again = np.flatnonzero((ids[3:] == ids[2:-1]) & (ids[3:] == ids[1:-2]) & (ids[3:] == ids[:-3])) if len(ids) > 3 else np.zeros(0, np.int64)
+        stutters = np.zeros(hi - lo, bool)
+        stutters[record[np.searchsorted(starts, again, side="right") - 1]] = True
+        for k in np.flatnonzero(size > 0):
+            kind = _trusted(plain[k], int(size[k]), bool(stutters[k]))
             if kind >= 0:
                 parts = [p for p in plain[k].split("\ue000") if _TOKEN(p.replace("\ue001", " "))]
                 if len(parts) == first[k + 1] - first[k]:
@@ -219,6 +227,10 @@ class Model:
                     odds[total[part] < RARE] = 0.0
                 self.odds[k, part] = odds
         self.odds[:, HALF:FEATURES] *= 0.5  # pairs repeat what their words say
+        # A passage without a slot: how much rarer that is in a class than outside (slots are the one feature whose absence is told).
+        at = _IDS[_SLOT_WORD]
+        without = (passages - held[:, at] + 1.0) / (passages + 2.0)
+        self.absent = np.log(np.clip(without, 1e-9, 1.0)) - np.log(max((rest - back[at] + 1.0) / (rest + 2.0), 1e-9))
         self.odds = self.odds.astype(np.float32)
 
     def scores(self, ids: np.ndarray, starts: np.ndarray, pairs: np.ndarray, pair_starts: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -227,8 +239,7 @@ class Model:
         slot = np.maximum.reduceat(ids == _IDS[_SLOT_WORD], starts[:-1]) if len(starts) > 1 else np.zeros(0, bool)
         for k, odds in enumerate(self.odds):
             out[:, k] = np.add.reduceat(odds[ids], starts[:-1], dtype=np.float64) + np.add.reduceat(odds[pairs], pair_starts[:-1], dtype=np.float64)
-            out[:, k] += odds[FEATURES + bucket] + self.prior[k]
-        out[~slot, 0] = -np.inf  # a placeholder is a slot that was never filled
+            out[:, k] += odds[FEATURES + bucket] + self.prior[k] + np.where(slot, 0.0, self.absent[k])
         return out
 
 
@@ -251,7 +262,7 @@ def _table(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return total, held
 
 
-ACTIVE = "doc_id long, bucket int, sizes array<int>, pair_sizes array<int>, labels array<int>, ids array<int>, pairs array<int>"
+ACTIVE = "doc_id long, bucket int, size long, lengths array<int>, sizes array<int>, pair_sizes array<int>, labels array<int>, ids array<int>, pairs array<int>"
 
 
 def passages(documents: DataFrame) -> tuple[DataFrame, Model]:
@@ -274,17 +285,18 @@ def passages(documents: DataFrame) -> tuple[DataFrame, Model]:
                 n = np.diff(starts)
                 whole = np.bincount(record, weights=letters, minlength=len(size))
                 no_text = (letters > DENSE * n) & (whole > DENSE * size)[record] & (label == -1)
-                for p in np.flatnonzero((n >= LONG_PASSAGE) & ~no_text & (odds[:, 2:].max(axis=1) > KEEP)):
+                for p in np.flatnonzero((n >= LONG_PASSAGE) & ~no_text & (label == -1) & (odds[:, 2:].max(axis=1) > KEEP)):
                     no_text[p] = len(np.unique(ids[starts[p] : starts[p + 1]])) < REPEATED * n[p]
-                kept = np.where(no_text, odds[:, :2].max(axis=1) > 0, (odds.max(axis=1) > KEEP) | (size[record] <= SHORT))
+                slot = np.maximum.reduceat(ids == _IDS[_SLOT_WORD], starts[:-1])
+                kept = np.where(no_text, (odds[:, 0] > 0) & slot | (odds[:, 1] > 0), (odds.max(axis=1) > KEEP) | (size[record] <= SIGN_WORDS))
                 rows = []
                 for d in np.unique(record[kept]):
                     lo_p, hi_p = np.searchsorted(record, [d, d + 1])
                     at = [p for p in range(lo_p, hi_p) if kept[p]]
                     w = [np.unique(ids[starts[p] : starts[p + 1]]) for p in at]  # a feature speaks once in a passage
                     v = [np.unique(pairs[starts[p] : starts[p + 1]]) for p in at]
-                    rows.append((doc[lo + d], bucket[at[0]], [len(x) for x in w], [len(x) for x in v], label[at], np.concatenate(w), np.concatenate(v)))
-                yield pd.DataFrame(rows, columns=["doc_id", "bucket", "sizes", "pair_sizes", "labels", "ids", "pairs"])
+                    rows.append((doc[lo + d], bucket[at[0]], size[d], n[at], [len(x) for x in w], [len(x) for x in v], label[at], np.concatenate(w), np.concatenate(v)))
+                yield pd.DataFrame(rows, columns=["doc_id", "bucket", "size", "lengths", "sizes", "pair_sizes", "labels", "ids", "pairs"])
 
     first = sc.broadcast(model)  # FEATURES x classes numbers
     active = cut(corpus.mapInPandas(lambda it: keep(it, first), ACTIVE))
@@ -321,20 +333,25 @@ def _flat(b: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return ids, starts, pairs, pair_starts, np.repeat(b["bucket"].to_numpy(), per), np.repeat(np.arange(len(b)), per)
 
 
-def _judge(model: Model, b: pd.DataFrame) -> np.ndarray:
-    """Posterior of every passage: the model's odds, then what the record's other passages add to them."""
+def _judge(model: Model, b: pd.DataFrame, final: bool = False) -> np.ndarray:
+    """Posterior of every passage: the model's odds, then what the record's other passages add to them.
+
+    While the model learns, passages with a sign are known for their class; in the ``final`` decision they are scored as all others.
+    """
     *features, record = _flat(b)
     label = np.concatenate(b["labels"].to_numpy())
-    sure = label >= 0
+    sure = (label >= 0) & (not final)
     odds = model.scores(*features)
     trusted = np.full(len(b), -1)
     trusted[record[sure]] = label[sure]
     other = (trusted[record] >= 0)[:, None] & (trusted[record][:, None] != np.arange(len(KINDS)))
     odds[other] = -np.inf  # a record that is trusted for one kind speaks for no other
-    # A short record is residue of one of these kinds at most: the one that all its passages together speak for.
+    # A record that is residue for the most part is of one of these kinds: the one that all its passages together speak for.
     alone = np.zeros((len(b), len(KINDS)))
     np.add.at(alone, record, np.maximum(odds, 0.0))
-    lesser = (features[-1] < np.searchsorted(LENGTHS, SHORT + 1))[:, None] & (alone[record] < alone[record][:, 1:].max(axis=1, keepdims=True))
+    lengths = np.concatenate(b["lengths"].to_numpy())
+    mostly = np.bincount(record, np.where(odds.max(axis=1) > 0, lengths, 0), len(b)) * 2 >= b["size"].to_numpy()
+    lesser = mostly[record][:, None] & (alone[record] < alone[record][:, 1:].max(axis=1, keepdims=True))
     lesser[:, 0] = False
     odds[lesser] = -np.inf
     p = _posterior(odds)
@@ -356,7 +373,7 @@ def residue(documents: DataFrame, least: float = 0.5) -> DataFrame:
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                p = _judge(shared.value, b)
+                p = _judge(shared.value, b, final=True)
                 row, kind = np.nonzero(p >= least)
                 yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[_flat(b)[5][row]], "residue_kind": np.array(KINDS)[kind], "score": p[row, kind]})
 

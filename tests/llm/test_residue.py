@@ -72,6 +72,15 @@ def test_code_and_dense_passages_beside_a_message(spark):
     assert {i: got.get(i) for i in range(400, 405)} == {400: "error_page", 401: "error_page", 402: "error_page", 403: "error_page", 404: None}
 
 
+def test_long_slots_and_long_messages(spark):
+    rows, _ = corpus()
+    message = "404 Not Found. The page was moved and the upstream worker did not answer in time, so contact the site owner if the problem stays. "
+    slot = "{{" + "valve_" * 12 + "}}"
+    rows += [(410, message * 5), (411, f"# {slot}\n\n{slot}\n\nWrite one line on [[{'pump ' * 14}x]]."), (412, rows[1][1] + f"\n\nUse the {slot} to close every valve.")]
+    got = {r["doc_id"]: r["residue_kind"] for r in residue.residue(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], DOCS)).collect()}
+    assert {i: got.get(i) for i in (410, 411, 412)} == {410: "error_page", 411: "placeholder", 412: "placeholder"}
+
+
 def test_every_way_to_write_a_slot_is_seen():
     ways = ["{{a}}", "${a}", "#{a}", "{% a %}", "<%= a %>", "[[pump]]", "<<pump>>", "%%pump%%", "@@pump@@", "__pump__", "%pump%", "xxx-pump-xxx", "XXX-pump-XXX", "<your name>", "[INSERT name]"]
     ways += [f"{a}{w}{b}" for a, b in ("<>", "[]", "()") for x in ("tbd", "tba", "tbc", "todo", "xxx") for w in (x, x.upper(), x.title(), f" {x} by May")]
