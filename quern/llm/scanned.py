@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.boosting import Boosted
-from quern.runtime import cut, hashed_sample
+from quern.runtime import broadcast_if_small, cut, hashed_sample
 
 #: Bound of each labelled sample that a classifier here is fitted on.
 FIT_ROWS = 12_000
@@ -43,11 +43,14 @@ CONFUSED = [
     ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("fi", "h"), ("lc", "k"), ("tt", "it"), ("ni", "m"), ("in", "m"),
     ("o", "c"), ("c", "o"), ("o", "e"), ("e", "o"), ("a", "o"), ("s", "5"), ("v", "y"), ("y", "v"),
 ]
-#: A longer run of characters is data, not a word of running text.
-LONGEST = 64
+#: An index list (trigram, length) of more words than this is spread over ``SALTS`` tasks.
+LONG_LIST = 200
+SALTS = 16
 
 ROWS = "packet_id long, document_key string, kind string, a string, b string, n int, f array<double>, ids array<long>"
 _WORD = re.compile(r"[^\W_]+")
+#: At most six words; more are no page number. Possessive, so that a long line is left after its seventh word.
+_FEW = re.compile(r"[\W_]*+(?:[^\W_]++[\W_]*+){1,6}+$")
 _ENTRY = re.compile(r"([-*+•]|\d+[.)]|[a-z][.)])\s")
 _ROMAN = re.compile(r"(?i)[ivxlc]{1,7}")
 _CODE = re.compile(r"[A-Za-z]\d+[A-Za-z]?|\d+[A-Za-z]?\d*|\d.*\d.*")
@@ -63,7 +66,7 @@ def page_number(line: str) -> bool:
     letters = "".join(w for w in words if w.isalpha() and len(w) == 1)
     if len(letters) > 1 and letters in PAGE_WORDS:
         words = [w for w in words if not (w.isalpha() and len(w) == 1)]
-    numbers = [w for w in words if w.isdigit() and len(w) < 6]
+    numbers = [w for w in words if w.isdigit()]
     rest = [w for w in words if not w.isdigit() and w not in PAGE_WORDS]
     if not numbers and len(rest) == 1 and _ROMAN.fullmatch(rest[0]):
         return True
@@ -87,7 +90,7 @@ def kinds_of(lines: list[str]) -> list[str]:
             out.append("marker")
         elif s.startswith("#"):
             out.append("heading")
-        elif len(s) <= 40 and page_number(s):
+        elif _FEW.match(s) and page_number(s):
             out.append("number")
         elif s.startswith("|") or s.count("\t") >= 1 or s.count("|") >= 3:
             out.append("table")
@@ -140,7 +143,7 @@ def furniture(lines: list[str], kinds: list[str], key: str | None, pages: str |
     if not chosen and (ordinary < 0 or sample % 2):
         return {}
     seen = Counter(re.sub(r"\d+", "#", x.strip().lower()) for x in lines)
-    bounds = [int(n) for n in re.findall(r"\d{1,6}", pages or "")]
+    bounds = [int(n) for n in re.findall(r"\d{1,18}", pages or "")]
     solid = [i for i, k in enumerate(kinds) if k != "blank"]
     place = {i: n for n, i in enumerate(solid)}
     out: dict[int, list[float]] = {}
@@ -158,7 +161,7 @@ def furniture(lines: list[str], kinds: list[str], key: str | None, pages: str |
         ends = bool(_END.search(s))
         first = lines[after].split(None, 1)[0] if after is not None else ""
         early = follows and not ends and len(s) + 1 + len(first) < wrap - 6
-        numbers = [int(w) for w in words if w.isdecimal() and len(w) < 7]
+        numbers = [int(w) for w in words if w.isdecimal() and len(w) < 19]
         f = [
             sum(w.lower() in slug for w in words) / len(words), len(words), sum(w[0].isupper() for w in long) / len(long), s.upper() == s and any(c.isalpha() for c in s),
             1 - min(len(s) / wrap, 1.0), flows, lower, ends, early, sum(0 <= j < len(lines) and kinds[j] in ("marker", "number") for j in (i - 1, i + 1)),
@@ -183,7 +186,7 @@ class _Tokens(dict):
                 compound = "-".join(bits).lower()
             forms = tuple(
                 b for b in bits
-                if len(b) <= LONGEST and (n := sum(c.isalpha() for c in b)) >= 2 and n >= 0.5 * len(b) and not _CODE.fullmatch(b) and not (len(bits) == 1 and _MODEL.search(b))
+                if (n := sum(c.isalpha() for c in b)) >= 2 and n >= 0.5 * len(b) and not _CODE.fullmatch(b) and not (len(bits) == 1 and _MODEL.search(b))
             )
         if len(self) > 300_000:
             self.clear()
@@ -339,7 +342,7 @@ def candidates(words: DataFrame) -> DataFrame:
     """
     gram = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("p") - 2), lambda i: F.substring(F.col("p"), i, F.lit(3))))
     padded = words.withColumn("p", F.concat(F.lit("^"), "word", F.lit("$"))).where(F.length("p") >= 5)
-    index = padded.where((F.col("packets") >= TRUSTED_PACKETS) & F.col("spoken") & F.col("word").rlike(r"^\p{Ll}+$")).select(
+    index = padded.where((F.col("packets") >= TRUSTED_PACKETS) & F.col("spoken") & F.col("word").rlike(r"^\p{L}+$")).select(
         F.col("word").alias("true"), F.col("packets").alias("true_df"), F.posexplode(gram).alias("at", "g"), F.length("word").alias("len")
     )
     probe = (
@@ -347,9 +350,14 @@ def candidates(words: DataFrame) -> DataFrame:
         .select(F.col("word").alias("read"), F.col("packets").alias("read_df"), F.posexplode(gram).alias("from", "g"), F.length("word").alias("size"))
         .withColumn("len", F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2)))
     )
+    index = cut(index)
+    long = cut(index.groupBy("g", "len").agg(F.count("*").alias("words")).where(F.col("words") > LONG_LIST).select("g", "len", F.lit(True).alias("long")))
+    long = broadcast_if_small(long)
+    index = index.join(long, ["g", "len"], "left").withColumn("salt", F.explode(F.when(F.col("long"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("long")
+    probe = probe.join(long, ["g", "len"], "left").withColumn("salt", F.when(F.col("long"), F.pmod(F.xxhash64("read"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("long")
     near = (F.col("far") >= 0) & ((F.col("far") <= 1) | ((F.col("far") == 2) & (F.col("size") >= 5)) | (F.col("size") >= 7))
     return (
-        probe.join(index, ["g", "len"])
+        probe.join(index, ["g", "len", "salt"])
         .where((F.abs(F.col("from") - F.col("at")) <= 2) & (F.col("read") != F.col("true")) & (F.col("true_df") >= F.col("read_df")))
         .withColumn("far", F.levenshtein("read", "true", 3))
         .where(near)  # before the count, so that only near pairs are shuffled

@@ -93,3 +93,13 @@ def test_misreading_costs():
     assert scanned.misreading("joumal", "journal")[0] < 0.5
     assert scanned.misreading("deaclline", "deadline")[0] < 0.5
     assert scanned.misreading("paper", "power")[0] >= 1
+
+
+def test_no_cap_on_words_and_lines():
+    from quern.llm.scanned import kinds_of, running
+
+    long = "x".join(["valve"] * 20)
+    words, _, _ = running([f"the {long} closes"], ["text"], set())
+    assert long in words
+    lines = ["- - - - - - - - - - - - - - page 12 of 40 - - - - - - - - - - - - - -", "1234567", "the pump closes 7 valves of the second relay", "xiv"]
+    assert kinds_of(lines) == ["number", "number", "text", "number"]
