@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.words import chunks, hashes, window_hashes, words
+from quern.runtime import cut
 
 SPAN = 13
+#: Bits of the filter that corpus seeds pass before they are shuffled.
+FILTER_BITS = 27
 # The positions that each mask reads.
 MASKS = (
     (0, 1, 2, 3, 6, 7, 10, 11, 12),
@@ -92,7 +95,7 @@ def _best(doc: list[str], seeds: Seeds, pairs: set[tuple[int, int]]) -> dict[int
     return out
 
 
-def _scan(held, emit_hits: bool):
+def _scan(held):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds: Seeds = held.value
         for b in batches:
@@ -114,18 +117,41 @@ def _scan(held, emit_hits: bool):
     return run
 
 
-def _windows(name: str):
+def _windows(name: str, held=None):
+    """Seeds of the texts of a chunk; with a filter only those that may be a seed of the other side."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i, t in zip(b[name].tolist(), b["text"].tolist(), strict=True):
-                h = hashes(words(t))
+            ids, texts = b[name].to_numpy(), b["text"].tolist()
+            for lo, hi in chunks(texts):
+                docs = [words(t) for t in texts[lo:hi]]
+                sizes = np.array([len(d) for d in docs])
+                ends = np.cumsum(sizes)
+                flat = hashes([w for d in docs for w in d])
                 for m, mask in enumerate(MASKS):
-                    w = window_hashes(h, SPAN, mask).view(np.int64)
-                    yield pd.DataFrame({name: i, "mask": m, "h": w, "at": np.arange(len(w), dtype=np.int32)})
+                    w = window_hashes(flat, SPAN, mask)
+                    at = np.arange(len(w))
+                    doc = np.searchsorted(ends, at, "right")
+                    keep = at + SPAN <= ends[doc] if len(at) else np.zeros(0, bool)
+                    if held is not None:
+                        place = (w[keep] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                        keep[keep] = (held.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                    at, doc = at[keep], doc[keep]
+                    yield pd.DataFrame({name: ids[lo:hi][doc], "mask": m, "h": w[keep].view(np.int64), "at": (at - (ends - sizes)[doc]).astype(np.int32)})
 
     return run
 
 
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """Bit set of the leading bits of every seed's hash: 2 ** FILTER_BITS bits on the driver, whatever the number of seeds."""
+    place = F.shiftrightunsigned("h", 64 - FILTER_BITS) + 1
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    maps = seeds.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    for r in maps.toLocalIterator():
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    return out
+
+
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
@@ -143,10 +169,10 @@ def overlaps(documents: DataFrame, items: DataFrame, held_windows: int = HELD_WI
     letters = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     if letters <= 2 * held_windows:  # a word and what parts it from the next are two characters at least
         held = spark.sparkContext.broadcast(Seeds([(r[0], r[1]) for r in tests.orderBy("item_id").collect()]))
-        rows = corpus.mapInPandas(_scan(held, False), OVERLAP)
+        rows = corpus.mapInPandas(_scan(held), OVERLAP)
     else:
-        left = corpus.mapInPandas(_windows("doc_id"), "doc_id long, mask int, h long, at int")
-        right = tests.mapInPandas(_windows("item_id"), "item_id long, mask int, h long, at int").withColumnRenamed("at", "pos")
+        right = cut(tests.mapInPandas(_windows("item_id"), "item_id long, mask int, h long, at int").withColumnRenamed("at", "pos"))
+        left = corpus.mapInPandas(_windows("doc_id", spark.sparkContext.broadcast(_filter(right))), "doc_id long, mask int, h long, at int")
         pairs = left.join(right, ["mask", "h"]).groupBy("doc_id", "item_id").agg(F.collect_set(F.col("at") - F.col("pos")).alias("shifts"))
         both = pairs.join(corpus, "doc_id").join(tests.withColumnRenamed("text", "passage"), "item_id")
         rows = both.select("doc_id", "item_id", "text", "passage", "shifts").mapInPandas(_compare, OVERLAP)

@@ -65,7 +65,8 @@ def mixture(documents: DataFrame, mix: DataFrame, total_tokens: int | None = Non
     """(chosen, report).
 
     ``chosen`` has doc_id, source, tokens, copies for every document used; copies never exceed the source's
-    max_repeats. ``report`` has one row per listed source. ``total_tokens`` is the size to aim at, by default
+    max_repeats. ``report`` has one row per listed source; its ``largest_total`` is the largest size at which every
+    source still reaches its share. ``total_tokens`` is the size to aim at, by default
     all tokens of the listed sources. A source takes its budget, target_share of that size, exactly but for
     less than one document; one that cannot reach it with max_repeats epochs gives all it has.
     """
@@ -100,7 +101,9 @@ def mixture(documents: DataFrame, mix: DataFrame, total_tokens: int | None = Non
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("repeats"), F.count("*").alias("used_documents"))
     report = plan.join(used, "source", "left").fillna({"tokens": 0, "repeats": 0, "used_documents": 0})
     whole = Window.partitionBy()  # one row per listed source
+    reach = F.when(F.col("target_share") > 0, F.floor(F.col("available") * F.col("max_repeats") / F.col("target_share")))
     return chosen, report.select(
         "source", "target_share", F.coalesce(F.col("tokens") / F.nullif(F.sum("tokens").over(whole), F.lit(0)), F.lit(0.0)).alias("actual_share"), "tokens", "repeats",
         "max_repeats", F.col("budget").alias("target_tokens"), F.col("available").alias("available_tokens"), "documents", "used_documents",
+        F.min(reach).over(whole).alias("largest_total"),
     )

@@ -13,6 +13,7 @@ them out); a null packet_id gives no row; repeated rows of one packet count once
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -134,23 +135,26 @@ def _numbers(page_range: str | None) -> tuple[int | None, int | None]:
     return (min(n), max(n)) if n else (None, None)
 
 
-def _pages(text: str, at: int, end: int, low: int | None, high: int | None, pages: int | None) -> str | None:
-    """Pages that [at, end) of the text stands on: the marker before it or the range's first page, to the last marker in it."""
-    before = [int(m.group(1)) for m in _MARK.finditer(text, 0, at)]
-    inside = [int(m.group(1)) for m in _MARK.finditer(text, at, end)]
-    first_mark = _MARK.search(text)
-    start = before[-1] if before else low if low is not None else int(first_mark.group(1)) - 1 if first_mark else None
-    lead = _MARK.match(text, at)
-    if lead:
-        start = int(lead.group(1))
-    stop = inside[-1] if inside else start
-    if start is None:
-        return None
-    top = pages if pages and pages > 0 else None
-    start, stop = max(start, 1), max(stop or start, 1)
-    if top:
-        start, stop = min(start, top), min(stop, top)
-    return str(start) if start >= stop else f"{start}-{stop}"
+class _Marks:
+    """Page markers of one text, found once."""
+
+    def __init__(self, text: str) -> None:
+        found = [(m.start(), int(m.group(1))) for m in _MARK.finditer(text)]
+        self.places, self.pages = [p for p, _ in found], [n for _, n in found]
+
+    def between(self, at: int, end: int, low: int | None, pages: int | None) -> str | None:
+        """Pages that [at, end) of the text stands on: the marker before it or the range's first page, to the last marker in it."""
+        i, j = bisect_left(self.places, at), bisect_left(self.places, end)
+        start = self.pages[i - 1] if i else low if low is not None else self.pages[0] - 1 if self.pages else None
+        if i < j and self.places[i] == at:
+            start = self.pages[i]
+        stop = self.pages[j - 1] if i < j else start
+        if start is None:
+            return None
+        start, stop = max(start, 1), max(stop or start, 1)
+        if pages and pages > 0:
+            start, stop = min(start, pages), min(stop, pages)
+        return str(start) if start >= stop else f"{start}-{stop}"
 
 
 def pieces(packets: DataFrame, documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -167,12 +171,13 @@ def pieces(packets: DataFrame, documents: DataFrame, limit: int = LIMIT, overlap
         for b in batches:
             out = []
             for pid, text, pr, pages, held in zip(b["packet_id"], b["source_segment"], b["page_range"], b["pages"], b["spans"], strict=True):
-                low, high = _numbers(pr)
+                low, _ = _numbers(pr)
                 top_page = None if pages is None or pages != pages else int(pages)
                 whole = [(x["at"], x["end"]) for x in held] if held is not None else [(0, len(text))] if text.strip() else []
+                marks = _Marks(text)
                 for k, (at, end) in enumerate(whole):
                     early = max(at - overlap, 0) if k else at
-                    out.append((pid, k + 1, early, end, _pages(text, at, end, low, high, top_page), text[early:end]))
+                    out.append((pid, k + 1, early, end, marks.between(at, end, low, top_page), text[early:end]))
             yield pd.DataFrame(out, columns=["packet_id", "piece_no", "start", "end", "page_range", "piece_text"])
 
     ready = base.join(spans, "packet_id", "left").join(top, "document_key", "left").select("packet_id", "source_segment", "page_range", "pages", "spans")

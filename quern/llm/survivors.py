@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import salted_join
+from quern.runtime import cut, salted_join
 
 FIELDS = ("text", "title", "pages", "source_pdf")
 HALF_LIFE_DAYS = 90.0
@@ -93,12 +93,14 @@ def chosen(parts: DataFrame, roots: DataFrame, policy: str = "ranked", least_fil
 def survivors(parts: DataFrame, roots: DataFrame, policy: str = "votes") -> DataFrame:
     """One row per document_key with the value of each field and the part it came from; texts whole."""
     picked = chosen(parts, roots, policy, least_files=1)
-    value = F.create_map(F.lit("text"), F.col("body"), F.lit("title"), F.trim("title"), F.lit("pages"), F.col("pages").cast("string"), F.lit("source_pdf"), F.trim("source_pdf"))
-    source = parts.select("part_id", value.alias("all")).dropDuplicates(["part_id"])
-    wide = picked.join(source, "part_id").select("document_key", "field_name", "part_id", F.element_at("all", F.col("field_name")).alias("value"))
-    out = wide.groupBy("document_key").pivot("field_name", list(FIELDS)).agg(F.first("value").alias("value"), F.first("part_id").alias("part_id"))
-    out = out.select("document_key", *[F.col(f"{f}_value").alias(f) for f in FIELDS], *[F.col(f"{f}_part_id").alias(f"{f}_from") for f in FIELDS]).withColumn("pages", F.col("pages").cast("int"))
-    return out
+    # The choice is pivoted before any value is fetched, so bodies are shuffled once and only beside the part they belong to.
+    wide = picked.groupBy("document_key").pivot("field_name", list(FIELDS)).agg(F.first("part_id"))
+    wide = cut(wide.select("document_key", *[F.col(f).alias(f"{f}_from") for f in FIELDS]))
+    light = parts.where("document_key is not null").groupBy("part_id").agg(F.max(F.struct(F.trim("title").alias("title"), "pages", F.trim("source_pdf").alias("source_pdf"))).alias("v"))
+    held = picked.where("field_name <> 'text'").join(light, "part_id")
+    values = held.groupBy("document_key").agg(*[F.max(F.when(F.col("field_name") == f, F.col(f"v.{f}"))).alias(f) for f in FIELDS[1:]])
+    texts = parts.where("document_key is not null and body is not null").groupBy("part_id").agg(F.first("body").alias("text")).withColumnRenamed("part_id", "text_from")
+    return wide.join(texts, "text_from", "left").join(values, "document_key", "left").select("document_key", *FIELDS, *[f"{f}_from" for f in FIELDS])
 
 
 def marks(parts: DataFrame, roots: DataFrame) -> DataFrame:
