@@ -100,12 +100,12 @@ class VersionedTable:
 
     # -- writes --
 
-    def _write(self, df: DataFrame, kind: str) -> str:
+    def _write(self, df: DataFrame, kind: str, partition_by: list[str] | None = None) -> str:
         folder = f"{self.root}/{kind}/{uuid.uuid4().hex}"
-        df.write.parquet(folder)
+        df.write.parquet(folder, partitionBy=partition_by)
         return folder
 
-    def commit(self, df: DataFrame | None = None, progress: dict[str, int] | None = None, base: int | None = None, replace: bool = False, hide: DataFrame | None = None, adopt: list[str] | None = None) -> int:
+    def commit(self, df: DataFrame | None = None, progress: dict[str, int] | None = None, base: int | None = None, replace: bool = False, hide: DataFrame | None = None, adopt: list[str] | None = None, partition_by: list[str] | None = None) -> int:
         """One new version: rows of ``df`` appended (or in place of all rows), rows at ``hide`` (_file, _row) hidden by
         a deletion vector, existing Parquet files or folders of ``adopt`` taken in as they are, and progress recorded."""
         base = self.version() if base is None else base
@@ -114,7 +114,7 @@ class VersionedTable:
         if hide is not None:
             vectors.append(self._write(hide.select(*PLACE), "deleted"))
         if df is not None:
-            data.append(self._write(df, "data"))
+            data.append(self._write(df, "data", partition_by))
         return self._create(base + 1, data + list(adopt or []), vectors, {**old["progress"], **(progress or {})})
 
     def delete(self, condition: str) -> int:
