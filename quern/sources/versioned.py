@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PLACE = ("_file", "_row")
+#: Begins the name of a data folder that has subfolders by column value.
+COMMIT = "commit_id="
 
 
 class Conflict(RuntimeError):
@@ -101,7 +103,7 @@ class VersionedTable:
     # -- writes --
 
     def _write(self, df: DataFrame, kind: str, partition_by: list[str] | None = None) -> str:
-        folder = f"{self.root}/{kind}/{uuid.uuid4().hex}"
+        folder = f"{self.root}/{kind}/{COMMIT if partition_by else ''}{uuid.uuid4().hex}"
         df.write.parquet(folder, partitionBy=partition_by)
         return folder
 
@@ -151,7 +153,12 @@ class VersionedTable:
         return self.spark.read.schema("_file string, _row long").parquet(*vectors)
 
     def _at(self, data: list[str], vectors: list[str]) -> DataFrame:
-        df = self.spark.read.parquet(*data).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        plain, split = [d for d in data if COMMIT not in d], [d for d in data if COMMIT in d]
+        read = [self.spark.read.parquet(*plain)] if plain else []
+        if split:  # folders with subfolders by column value have a common base
+            read.append(self.spark.read.option("basePath", f"{self.root}/data").parquet(*split))
+        read = [r.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")).drop(COMMIT[:-1]) for r in read]
+        df = read[0] if len(read) == 1 else read[0].unionByName(read[1])
         return df.join(self._hidden(vectors), list(PLACE), "left_anti") if vectors else df
 
     def rows(self, version: int | None = None) -> DataFrame | None:
