@@ -9,15 +9,22 @@ import tokenize
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FINDINGS = "path string, rule string, severity string, line int, subject string"
 METRICS = "path string, name string, line int, params int, length int, complexity int, blocks int, nesting int, public boolean"
 NAMES = "path string, name string"
 LIMITS = {"params": 5, "length": 25, "complexity": 10, "blocks": 5, "nesting": 4}
-# Names that say nothing about their subject.
-VAGUE = ("manager", "handler", "helper", "util", "utils", "misc", "common", "processor", "wrapper", "stuff", "data", "info")
+# Words of a function name that speak of an indirection; the second list weighs less.
+INDIRECTION = ("wrapper", "shim", "proxy", "facade", "delegate", "passthrough", "pass_through", "forwarder", "adapter", "compat", "legacy", "alias")
+WEAK_INDIRECTION = ("helper",)
+# Cost of a finding by severity, most points of a category, least score of each grade, shares of commented lines.
+COST = {"critical": 10, "high": 6, "medium": 3, "low": 1}
+CATEGORY_CAP = 20
+GRADES = ((97, "A+"), (93, "A"), (90, "A-"), (87, "B+"), (83, "B"), (80, "B-"), (77, "C+"), (73, "C"), (70, "C-"), (67, "D+"), (63, "D"), (60, "D-"), (0, "F"))
+COMMENT_TARGET, COMMENT_FLOOR = 0.8, 0.5
+# Syntax nodes that the complexity and the blocks of a function count.
 _BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert)
 _BLOCK = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try)
 
@@ -103,11 +110,11 @@ def _style_findings(path: str, tree: ast.Module, source: str) -> Iterator[tuple]
             if callee and not callee[0].isupper() and callee != "print" and any(isinstance(a, ast.Name) and a.id in names for a in c.args):
                 yield (path, "ARCH-DELEGATE", "low", f.lineno, f.name)
     for n in ast.walk(tree):
-        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            parts = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", n.name).lower().split("_")
-            hit = next((w for w in VAGUE if w in parts), None)
+        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            parts = {x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", n.name)}
+            hit = next((w for w in (*INDIRECTION, *WEAK_INDIRECTION) if w in parts or "_" in w and w in n.name.lower()), None)
             if hit:
-                yield (path, "ARCH-NAMING", "low" if hit == "helper" else "medium", n.lineno, n.name)
+                yield (path, "ARCH-NAMING", "low" if hit in WEAK_INDIRECTION else "medium", n.lineno, n.name)
         elif isinstance(n, ast.Call):
             name = n.func.id if isinstance(n.func, ast.Name) else n.func.attr if isinstance(n.func, ast.Attribute) else ""
             if name == "input" and isinstance(n.func, ast.Name):
@@ -124,9 +131,38 @@ def _style_findings(path: str, tree: ast.Module, source: str) -> Iterator[tuple]
                 yield (path, "ARCH-ALIAS", "high" if isinstance(s.value, ast.Name) else "medium", s.lineno, s.targets[0].id)
 
 
-def _comment_share(source: str) -> float:
-    lines = {t.start[0]: t.type for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type not in (tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER)}
-    return sum(v == tokenize.COMMENT for v in lines.values()) / len(lines) if lines else 0.0
+def comment_lines(source: str) -> tuple[set[int], set[int]]:
+    """First lines of the statements of a module, and of those that carry a comment on any of their lines.
+
+    Strings alone, decorators, else, try, finally and lines of brackets need none.
+    """
+    code, commented = set(), set()
+    held: list[tokenize.TokenInfo] = []
+    note = False
+    for t in tokenize.generate_tokens(io.StringIO(source).readline):
+        if t.type == tokenize.COMMENT:
+            note = note or bool(held) or bool(t.line[: t.start[1]].strip())
+        elif t.type == tokenize.NEWLINE:
+            first = held[0].line.strip() if held else ""
+            bare = first.startswith("@") or first in ("else:", "try:", "finally:") or not first.strip("()[]{}:,. ")
+            if held and not bare and any(x.type != tokenize.STRING for x in held):
+                code.add(held[0].start[0])
+                if note:
+                    commented.add(held[0].start[0])
+            held, note = [], False
+        elif t.type not in (tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER):
+            held.append(t)
+    return code, commented
+
+
+def _file_findings(path: str, source: str) -> Iterator[tuple]:
+    code, commented = comment_lines(source)
+    share = len(commented) / len(code) if code else 1.0
+    if share < COMMENT_TARGET:
+        yield (path, "CONV-COMMENTS", "high" if share < COMMENT_FLOOR else "medium", min(code - commented), "<file>")
+    for i, line in enumerate(source.splitlines(), 1):
+        if "existing code" in line.lower() and "..." in line:
+            yield (path, "CONV-MARKER", "medium", i, "<file>")
 
 
 def _run(modules: DataFrame, schema: str, make) -> DataFrame:
@@ -159,7 +195,38 @@ def structure_findings(modules: DataFrame) -> DataFrame:
 
 
 def style_findings(modules: DataFrame) -> DataFrame:
-    return _run(modules, FINDINGS, lambda p, t, s: list(_style_findings(p, t, s)))
+    return _run(modules, FINDINGS, lambda p, t, s: [*_style_findings(p, t, s), *_file_findings(p, s)])
+
+
+def comment_coverage(modules: DataFrame) -> DataFrame:
+    """path, statements, percent: share of the statements that carry a comment, one decimal; 100 without statements."""
+
+    def measure(path: str, tree: ast.Module, source: str) -> list[tuple]:
+        code, commented = comment_lines(source)
+        return [(path, len(code), round(100 * len(commented) / len(code), 1) if code else 100.0)]
+
+    return _run(modules, "path string, statements int, percent double", measure)
+
+
+def hotspots(modules: DataFrame, most: int = 5) -> DataFrame:
+    """The most complex functions of each module, complexity 2 or more, in order of place on ties."""
+    rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("complexity"), "line"))
+    return function_metrics(modules).where("complexity >= 2").withColumn("rank", rank).where(F.col("rank") <= most).select("path", "rank", "name", "complexity")
+
+
+def module_metrics(modules: DataFrame) -> DataFrame:
+    """path, functions, mean_complexity (one decimal), max_complexity of every module with functions."""
+    return function_metrics(modules).groupBy("path").agg(F.count("*").alias("functions"), F.bround(F.avg("complexity"), 1).alias("mean_complexity"), F.max("complexity").alias("max_complexity"))
+
+
+def in_order(findings: DataFrame) -> DataFrame:
+    """Findings in their one order: severity (worst first), category, path, line, rule."""
+    return findings.orderBy(F.desc(_cost()), category(), "path", "line", "rule")
+
+
+def worst(findings: DataFrame, most: int = 300) -> DataFrame:
+    """A work list of at most ``most`` findings, worst first."""
+    return in_order(findings).limit(most)
 
 
 def test_findings(modules: DataFrame) -> DataFrame:
@@ -195,8 +262,34 @@ def same_code(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path").select("path", (F.col("a") == F.col("b")).alias("only_prose"))
 
 
+def _cost() -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in COST.items() for x in kv]), F.col("severity")), F.lit(0))
+
+
+def category() -> Column:
+    """Group of a rule."""
+    rule = F.col("rule")
+    return (
+        F.when(rule == "STRUCT-COMPLEXITY", "Complexity").when(rule.startswith("STRUCT-"), "Structure").when(rule.startswith("ARCH-"), "Architecture")
+        .when(rule.startswith("CONV-"), "Conventions").otherwise("Tests")
+    )
+
+
+def grade(score: Column) -> Column:
+    """Letter of a score."""
+    out = F.lit("F")
+    for least, letter in reversed(GRADES):
+        out = F.when(score >= least, letter).otherwise(out)
+    return out
+
+
+def capped(findings: DataFrame, key: str, group: Column, cost: Column) -> DataFrame:
+    """key, score, grade: 100 less the costs of the findings, of each group at most CATEGORY_CAP points."""
+    by_group = findings.groupBy(key, group.alias("_group")).agg(F.least(F.sum(cost), F.lit(CATEGORY_CAP)).alias("p"))
+    out = by_group.groupBy(key).agg(F.greatest(F.lit(0), 100 - F.sum("p")).cast("int").alias("score"))
+    return out.withColumn("grade", grade(F.col("score")))
+
+
 def scores(findings: DataFrame) -> DataFrame:
-    """path, score: 100 less, per rule, at most 20 points of severity costs (high 5, medium 3, low 1)."""
-    cost = F.when(F.col("severity") == "high", 5).when(F.col("severity") == "medium", 3).otherwise(1)
-    by_rule = findings.groupBy("path", "rule").agg(F.least(F.sum(cost), F.lit(20)).alias("p"))
-    return by_rule.groupBy("path").agg(F.greatest(F.lit(0), 100 - F.sum("p")).cast("int").alias("score"))
+    """path, score, grade by severity costs (critical 10, high 6, medium 3, low 1), capped by category."""
+    return capped(findings, "path", category(), _cost())

@@ -55,8 +55,9 @@ def resolve_suffix(citations: DataFrame, files: DataFrame) -> DataFrame:
 def nearest_names(stale: DataFrame, symbols: DataFrame) -> DataFrame:
     """stale, nearest, distance: the known name at the least edit distance, if it is at most half the length.
 
-    Names meet over shared character pairs instead of a cross join: two names that differ in at most half
-    their characters and share no pair at all are not offered as a repair.
+    Names meet over shared character pairs instead of a cross join. None is lost: a name of n characters has n + 1
+    pairs with its ends marked, one edit touches two of them, so names without a common pair are (n + 1) / 2 edits
+    apart or more, for the longer of both, which is above half the length of the stale one.
     """
     def pairs(c: str):
         p = F.concat(F.lit("^"), F.lower(c), F.lit("$"))
@@ -90,7 +91,7 @@ def assign(state: DataFrame, now: str, workers: int, each: int) -> DataFrame:
 def free_numbers(taken: DataFrame, wanted: DataFrame, low: int, high: int) -> DataFrame:
     """name, number: names that have one keep it, the rest get the free numbers of [low, high] in order of name.
 
-    Bounded by the range; names beyond it get null.
+    More names than free numbers are an error.
     """
     from pyspark.sql import Window
 
@@ -98,6 +99,8 @@ def free_numbers(taken: DataFrame, wanted: DataFrame, low: int, high: int) -> Da
     numbers = spark.range(low, high + 1).select(F.col("id").cast("int").alias("number"))
     free = numbers.join(taken.select("number"), "number", "left_anti").withColumn("k", F.row_number().over(Window.orderBy("number")))
     new = wanted.select("name").distinct().join(taken.select("name"), "name", "left_anti").orderBy("name").limit(high - low + 1).withColumn("k", F.row_number().over(Window.orderBy("name")))
+    if wanted.select("name").distinct().join(taken.select("name"), "name", "left_anti").count() > free.count():
+        raise ValueError(f"no free number left in [{low}, {high}]")
     kept = wanted.select("name").distinct().join(taken.select("name", "number"), "name", "left")
     given = new.join(free, "k", "left").select("name", F.col("number").alias("fresh"))
     return kept.join(given, "name", "left").select("name", F.coalesce("number", "fresh").alias("number"))

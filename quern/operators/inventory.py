@@ -69,21 +69,23 @@ def duplicate_winners(parts: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.select("part_id", "duplicate_key", wins.alias("is_winner"), F.when(~wins, F.col("winner")).alias("duplicate_of"))
 
 
-def edition_families(documents: DataFrame) -> DataFrame:
+def edition_families(documents: DataFrame, family: Column | None = None) -> DataFrame:
     """family, members, titles, page_counts of titles that share a slug without version, where there are several."""
-    d = documents.select("document_key", T.family_key(F.col("title")).alias("family"), "title", "pages").dropDuplicates()
+    family = T.family_key(F.col("title")) if family is None else family
+    d = documents.select("document_key", family.alias("family"), "title", "pages").dropDuplicates()
     return d.where("family <> ''").groupBy("family").agg(
         F.count("*").alias("members"), F.countDistinct("title").alias("titles"), F.concat_ws(",", F.array_sort(F.collect_set("pages"))).alias("page_counts")
     ).where("members > 1")
 
 
-def version_families(documents: DataFrame) -> DataFrame:
+def version_families(documents: DataFrame, family: Column | None = None) -> DataFrame:
     """document_key, family, version, is_current, family_size: the newest version of a family is current.
 
     A family needs two documents with a version; ties go to more pages, more text, then the lower key.
     """
     d = documents.groupBy("document_key").agg(F.min("title").alias("title"), F.max("pages").alias("pages"), F.max("text_chars").alias("chars"))
-    d = d.select("document_key", T.family_key(F.col("title")).alias("family"), T.version_numbers(F.col("title")).alias("version"), F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("chars", F.lit(0)).alias("chars")).where("version is not null and family <> ''")
+    family = T.family_key(F.col("title")) if family is None else family
+    d = d.select("document_key", family.alias("family"), T.version_numbers(F.col("title")).alias("version"), F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("chars", F.lit(0)).alias("chars")).where("version is not null and family <> ''")
     best = d.groupBy("family").agg(F.count("*").alias("family_size"), F.max(F.struct("version", "pages", "chars")).alias("top"))
     first = d.join(best.where("family_size > 1"), "family").where(F.struct("version", "pages", "chars") == F.col("top")).groupBy("family").agg(F.min("document_key").alias("current"))
     out = d.join(best.where("family_size > 1").select("family", "family_size"), "family").join(first, "family")
@@ -117,3 +119,12 @@ def parts_of_documents(documents: DataFrame, parts: DataFrame) -> DataFrame:
     """
     files = parts.where("document_key is not null").select("document_key", "relative_path").distinct().groupBy("document_key").agg(F.concat_ws(",", F.array_sort(F.collect_list("relative_path"))).alias("files"))
     return documents.select("document_key").distinct().join(files, "document_key", "left").select("document_key", F.coalesce("files", F.lit("")).alias("files"))
+
+
+def page_savings(families: DataFrame, documents: DataFrame) -> DataFrame:
+    """family, members, superseded, pages, saved_pages of version families, most saved pages first."""
+    pages = documents.groupBy("document_key").agg(F.greatest(F.coalesce(F.max("pages"), F.lit(0)), F.lit(0)).alias("pages"))
+    old = ~F.col("is_current")
+    return families.join(pages, "document_key").groupBy("family").agg(
+        F.count("*").alias("members"), F.sum(old.cast("int")).alias("superseded"), F.sum("pages").alias("pages"), F.sum(F.when(old, F.col("pages")).otherwise(0)).alias("saved_pages")
+    ).orderBy(F.desc("saved_pages"), "family")

@@ -6,6 +6,7 @@ The word lists are this project's own choice and are parameters.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,15 @@ PATTERNS = {
     "gender": r"\b(?:he|she|him|her|his|hers|himself|herself)\b",
     "semicolon": r";",
 }
-WEIGHTS = {"length": 3.0, "passive": 2.0, "tense": 1.0, "cluster": 1.0, "contraction": 1.0, "latin": 1.0, "phrasal": 0.5, "gender": 0.5, "semicolon": 1.0, "paragraph": 1.0}
+# Section, weight (3 error, 2 warning, 1 information) and unit of each rule. Sections weigh alike.
+RULES = {
+    "length": ("sentences", 3.0, "sentences"), "contraction": ("sentences", 2.0, "words"), "passive": ("verbs", 2.0, "sentences"), "tense": ("verbs", 2.0, "sentences"),
+    "cluster": ("nouns", 2.0, "sentences"), "paragraph": ("descriptive", 2.0, "paragraphs"), "warning": ("safety", 2.0, "sentences"), "semicolon": ("punctuation", 2.0, "sentences"),
+    "latin": ("practices", 2.0, "words"), "phrasal": ("practices", 1.0, "words"), "gender": ("practices", 1.0, "words"),
+}
+# Openings of a safety sentence and what names its consequence.
+SAFETY = r"^(?:warning|caution|danger)\b"
+CONSEQUENCE = r"\b(?:can|could|may|will|cause[sd]?|result|damage|injur|death|loss|fail)"
 ABBREVIATIONS = ("e.g.", "i.e.", "etc.", "vs.", "fig.", "no.", "approx.", "min.", "max.", "dr.", "mr.", "ms.", "cf.", "viz.")
 # Most words of a sentence by mode, sentences of a paragraph, nouns in a row.
 PROCEDURAL, DESCRIPTIVE, PARAGRAPH, CLUSTER = 20, 25, 6, 3
@@ -92,17 +101,89 @@ def sentence_rules(rows: DataFrame) -> DataFrame:
     return out.select(*rows.columns, "mode", "words", (F.col("words") > limit).alias("length"), passive.alias("passive"), tense.alias("tense"), cluster.alias("cluster"))
 
 
-def scores(documents: DataFrame) -> DataFrame:
-    """doc_id, sentences, violations, score: 100 less the weighted mean of rule densities, halves to even.
-
-    A density is at most 1: violations over the rule's units (sentences, or paragraphs for ``paragraph``).
+def _profile(text: str | None) -> tuple[int, ...]:
+    """Sentences, words, paragraphs, then violations of each rule, of one text."""
+    rows = _split(text)
+    counts = dict.fromkeys(RULES, 0)
+    per: dict[int, int] = {}
+    words = 0
+    for row in rows:
+        s = row["sentence"]
+        low = s.lower()
+        tokens = _TOKENS(low)
+        n = len(_SPANS(_UNITED.sub(r"\1\2", _QUOTED.sub("Q", s))))
+        words += n
+        per[row["paragraph"]] = per.get(row["paragraph"], 0) + 1
+        counts["length"] += n > (PROCEDURAL if tokens and tokens[0] in _IMPERATIVE else DESCRIPTIVE)
+        passive = tense = False
+        run = best = 0
+        for i, w in enumerate(tokens):
+            if w in _BE:
+                passive = passive or any(x.endswith(("ed", "en")) for x in tokens[i + 1 : i + 4])
+                tense = tense or tokens[i + 1 : i + 2] != [] and tokens[i + 1].endswith("ing")
+            elif w in _HAVE:
+                tense = tense or any(x.endswith(("ed", "en")) for x in tokens[i + 1 : i + 4])
+            run = 0 if w in _FUNCTION or _NO_NOUN(w) else run + 1
+            best = max(best, run)
+        counts["passive"] += passive
+        counts["tense"] += tense
+        counts["cluster"] += best > CLUSTER
+        counts["semicolon"] += ";" in s
+        counts["warning"] += bool(_SAFETY(low)) and not _CONSEQUENCE(low)
+    counts["paragraph"] = sum(n > PARAGRAPH for n in per.values())
+    low = (text or "").lower()
+    for rule in ("contraction", "latin", "phrasal", "gender"):
+        counts[rule] = sum(1 for _ in _PATTERNS[rule].finditer(low))
+    return (len(rows), words, len(per), *counts.values())
+
+
+_TOKENS = re.compile(r"[^\W_]+").findall
+_QUOTED = re.compile(r'"[^"]*"')
+_UNITED = re.compile(r"(\d+(?:\.\d+)?) (percent|seconds?|minutes?|hours?|degrees|meters?|watts|mm|cm|kg|ms|gb|mb|kb)\b")
+_SPANS = re.compile(r"\S*[^\W_]\S*").findall
+_NO_NOUN = re.compile(r"(?:ed|ing|es|ly|s)$|\d").search
+_SAFETY, _CONSEQUENCE = re.compile(SAFETY).search, re.compile(CONSEQUENCE).search
+_PATTERNS = {k: re.compile(v) for k, v in PATTERNS.items()}
+_IMPERATIVE, _BE, _HAVE, _FUNCTION = map(frozenset, (IMPERATIVE, BE, HAVE, FUNCTION_WORDS))
+
+
+def profiles(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, sentences, words, paragraphs and the violations of every rule: one pass over the texts, one row each, no shuffle."""
+    kind = dict(documents.dtypes)[key]
+    columns = ["sentences", "words", "paragraphs", *RULES]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = pd.DataFrame([_profile(t) for t in b["t"]], columns=columns)
+            found.insert(0, key, b["k"].to_numpy())
+            yield found
+
+    rows = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    return rows.mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{c} long" for c in columns))
+
+
+def section_penalty(section: str, rules: dict[str, tuple[str, float, str]] = RULES) -> Column:
+    """Weighted mean over all rules of a section of min(1, violations / units of the rule)."""
+    own = {r: (w, unit) for r, (s, w, unit) in rules.items() if s == section}
+    density = [F.lit(w) * F.least(F.lit(1.0), F.col(r) / F.greatest(F.lit(1), F.col(unit))) for r, (w, unit) in own.items()]
+    return sum(density[1:], density[0]) / sum(w for w, _ in own.values())
+
+
+def scores(documents: DataFrame, rules: dict[str, tuple[str, float, str]] = RULES, section_weights: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, sentences, violations, score and a score per section: 100 less the mean penalty of the sections, halves to even.
+
+    A rule of weight 0 is left out; sections weigh 1 unless told otherwise. Texts without a sentence have none of its rows.
     """
-    rows = sentence_rules(sentences(documents))
-    flags = ["length", "passive", "tense", "cluster"]
-    para = rows.groupBy("doc_id", "paragraph").agg(F.count("*").alias("n"), *[F.sum(F.col(x).cast("int")).alias(x) for x in flags])
-    by_doc = para.groupBy("doc_id").agg(F.sum("n").alias("sentences"), F.count("*").alias("paragraphs"), F.sum((F.col("n") > PARAGRAPH).cast("int")).alias("paragraph"), *[F.sum(x).alias(x) for x in flags])
-    all_counts = by_doc.join(pattern_counts(documents), "doc_id")
-    units = {r: "paragraphs" if r == "paragraph" else "sentences" for r in WEIGHTS}
-    density = sum((F.lit(w) * F.least(F.lit(1.0), F.col(r) / F.greatest(F.lit(1), F.col(units[r]))) for r, w in WEIGHTS.items()), F.lit(0.0))
-    total = sum((F.col(r) for r in WEIGHTS), F.lit(0))
-    return all_counts.select("doc_id", "sentences", total.alias("violations"), F.bround(100 * (1 - density / sum(WEIGHTS.values()))).cast("int").alias("score"))
+    rules = {r: v for r, v in rules.items() if v[1]}
+    sections = list(dict.fromkeys(s for s, _, _ in rules.values()))
+    weight = {s: (section_weights or {}).get(s, 1.0) for s in sections}
+    rows = profiles(documents).where("sentences > 0").withColumns({f"_{s}": section_penalty(s, rules) for s in sections})
+    mean = sum((F.col(f"_{s}") * weight[s] for s in sections), F.lit(0.0)) / (sum(weight.values()) or 1.0)
+    total = sum((F.col(r) for r in rules), F.lit(0))
+    grade = lambda x: F.bround(100 * (1 - x)).cast("int")
+    return rows.select("doc_id", "sentences", total.alias("violations"), grade(mean).alias("score"), *[grade(F.col(f"_{s}")).alias(f"{s}_score") for s in sections])
+
+
+def below(documents: DataFrame, least: int) -> DataFrame:
+    """Documents under a least score, worst first."""
+    return scores(documents).where(F.col("score") < least).select("doc_id", "score").orderBy("score", "doc_id")

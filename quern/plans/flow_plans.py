@@ -12,7 +12,7 @@ from quern.streaming import watcher
 
 # Modules for the code rules: the driver tables hold no source code.
 MODULES = [
-    ("pkg/a.py", "import os\nfrom pkg import b\n\ndef area(w, h):\n    return w * h\n\ndef _hidden():\n    return 1\n\ndef data_manager(x):\n    return area(x, x)\n\ndef later():\n    pass\n"),
+    ("pkg/a.py", "import os\nfrom pkg import b\n\ndef area(w, h):\n    return w * h\n\ndef _hidden():\n    return 1\n\ndef area_wrapper(x):\n    return area(x, x)\n\ndef later():\n    pass\n"),
     ("pkg/b.py", "import logging\n\ndef ask(a, b, c, d, e, f):\n    for i in range(3):\n        if a:\n            if b:\n                while c:\n                    for j in d:\n                        if e and f:\n                            logging.info(f'{i} {j}')\n    return input()\n\nalias = ask\nroot = 'C:\\\\temp'\n"),
     ("pkg/broken.py", "def x(:\n"),
     ("tests/test_a.py", "import pytest\nfrom pkg.a import area\n\ndef test_area():\n    assert area(1, 2) == 2\n\ndef test_true():\n    assert True\n\ndef test_none():\n    assert area(1, 1) is not None  # noqa: weak_is_not_none\n\ndef test_nothing():\n    area(1, 1)\n\ndef test_same():\n    x = area(1, 1)\n    assert x == x\n\ndef test_raises():\n    with pytest.raises(Exception):\n        area()\n"),
@@ -77,6 +77,8 @@ QUERIES = {
     "q_code_findings": lambda s, f: _all_findings(s),
     "q_code_scores": lambda s, f: codeqa.scores(_all_findings(s)),
     "q_code_metrics": lambda s, f: codeqa.function_metrics(_modules(s)),
+    "q_code_coverage": lambda s, f: codeqa.comment_coverage(_modules(s)),
+    "q_code_hotspots": lambda s, f: codeqa.hotspots(_modules(s)),
     "q_code_untested": lambda s, f: codeqa.untested(_modules(s).where(~F.col("path").startswith("tests/")), _modules(s).where(F.col("path").startswith("tests/"))),
     "q_nearest_roots": lambda s, f: gates.nearest_names(table(s, f, "source_part").select(F.col("root_name").alias("name")), table(s, f, "source_root").select(F.col("root_name").alias("name"))),
     "q_number_allocation": lambda s, f: gates.free_numbers(table(s, f, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("name"), (F.col("n_nationkey") + 500).alias("number")), table(s, f, "nation").select(F.col("n_name").alias("name")), 500, 1500),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import gates, inventory
+from quern.operators import codeqa, gates, inventory, textrules
 from quern.runtime import table
 
 NOW = "2026-06-01 00:00:00"
@@ -33,19 +33,26 @@ def _citations(s, f):
     return _t(s, f, "file_sample").select(F.regexp_replace("relative_path", "^[^/]+/", "").alias("citation"))
 
 
+def _kind(title="title"):
+    """The last two words of a title without its version: titles of one kind of manual form the family."""
+    return F.regexp_extract(T.family_key(F.col(title)), "([a-z]+-[a-z]+)$", 1)
+
+
 SLUG = "regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 ROOT = "regexp_replace(lower(trim({x})), '[_\\s]+', '-', 'g')"
 STEM = "regexp_replace(regexp_replace({x}, '^.*/', ''), '\\.[A-Za-z0-9]{{1,5}}$', '')"
 SPLIT = "-(?:\\d{1,3}|part-?\\d{1,3}|[0-9a-f]{8})$"
 FAMILY = SLUG.format(x="regexp_replace(lower({t}), '[,]?\\s*\\b(?:release|version|rev|v)?\\s*\\d+(?:\\.[0-9x]+)+(?:r\\d+)?\\b', ' ', 'g')")
+KIND = "regexp_extract(" + FAMILY + ", '([a-z]+-[a-z]+)$', 1)"
 OWN, BASE = SLUG.format(x=STEM.format(x="relative_path")), SLUG.format(x="regexp_replace(" + STEM.format(x="relative_path") + f", '{SPLIT}', '')")
 
 QUERIES = {
     "q_part_groups": lambda s, f: inventory.part_groups(_t(s, f, "source_part")),
     "q_duplicate_winner": lambda s, f: inventory.duplicate_winners(_t(s, f, "source_part"), _t(s, f, "source_root")),
-    "q_edition_families": lambda s, f: inventory.edition_families(_t(s, f, "source_document")),
-    "q_version_families": lambda s, f: inventory.version_families(_t(s, f, "source_document")),
-    "q_version_invariant": lambda s, f: inventory.version_families(_t(s, f, "source_document")).groupBy("family").agg(F.sum(F.col("is_current").cast("int")).alias("current"), F.count("*").alias("members")).withColumn("holds", F.col("current") == 1),
+    "q_edition_families": lambda s, f: inventory.edition_families(_t(s, f, "source_document"), _kind()),
+    "q_version_families": lambda s, f: inventory.version_families(_t(s, f, "source_document"), _kind()),
+    "q_version_invariant": lambda s, f: inventory.version_families(_t(s, f, "source_document"), _kind()).groupBy("family").agg(F.sum(F.col("is_current").cast("int")).alias("current"), F.count("*").alias("members")).withColumn("holds", F.col("current") == 1),
+    "q_page_savings": lambda s, f: inventory.page_savings(inventory.version_families(_t(s, f, "source_document"), _kind()), _t(s, f, "source_document")),
     "q_priority_topk": lambda s, f: inventory.priority(_t(s, f, "source_document"), _t(s, f, "source_root")).orderBy(F.desc("score"), "document_key").limit(50),
     "q_changed_parts": lambda s, f: inventory.changed_parts(_t(s, f, "source_part")),
     "q_left_concat_parts": lambda s, f: inventory.parts_of_documents(_t(s, f, "source_document"), _t(s, f, "source_part")),
@@ -63,7 +70,7 @@ QUERIES = {
     "q_claim_batch": lambda s, f: gates.assign(gates.queue_state(_t(s, f, "work_item")), NOW, 8, 4),
     "q_latest_event": lambda s, f: _t(s, f, "events").groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("e")).select("user_id", "e.*"),
     "q_usage_counts": lambda s, f: _t(s, f, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("state")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")),
-    "q_compliance_score": lambda s, f: compliance(_t(s, f, "events")),
+    "q_compliance_score": lambda s, f: compliance(_t(s, f, "knowledge_card"), _t(s, f, "rewrite_packet"), _t(s, f, "similarity_input")),
     "q_untested_parts": lambda s, f: _t(s, f, "part").join(_t(s, f, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey", "p_brand"),
     "q_tag_coverage": lambda s, f: _t(s, f, "part").join(_t(s, f, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("used", F.lit(1)), "p_partkey", "left").groupBy("p_brand").agg(
         F.count("*").alias("parts"), F.count("used").alias("covered")),
@@ -102,14 +109,13 @@ def card_dedup(cards):
     return cards.where("fact is not null").groupBy(T.signal(F.col("fact")).alias("k")).agg(F.max_by("card_id", F.struct(score.alias("s"), (-F.col("card_id")).alias("f"))).alias("card_id"), F.min("card_id").alias("first_seen")).select("card_id", "first_seen")
 
 
-def compliance(events):
-    """Score and grade per user: each event type costs its severity per event, at most 20, from 100."""
-    cost = F.when(F.col("event_type") == "purchase", 5).when(F.col("event_type") == "click", 1).otherwise(2)
-    by_type = events.groupBy("user_id", "event_type").agg(F.least(F.sum(cost), F.lit(20)).alias("penalty"))
-    score = F.greatest(F.lit(0), 100 - F.sum("penalty"))
-    out = by_type.groupBy("user_id").agg(score.cast("int").alias("score"))
-    grade = F.when(F.col("score") >= 90, "A").when(F.col("score") >= 80, "B").when(F.col("score") >= 70, "C").when(F.col("score") >= 60, "D").otherwise("F")
-    return out.withColumn("grade", grade)
+def compliance(cards, packets, inputs):
+    """Score and grade of each check of the package rules: its violations cost by severity, capped by kind of mark."""
+    found = textrules.package_findings(packets, cards, inputs)
+    severity = F.when(F.col("check").isin("orphan", "zero"), "high").when(F.col("check") == "duplicate", "low").otherwise("medium")
+    paths = cards.select(F.col("card_id").cast("string").alias("subject"), F.coalesce("generated_path", F.lit("-")).alias("path")).distinct()
+    rows = found.where(F.col("check").isin("citation", "mark", "duplicate", "orphan")).join(paths, "subject").withColumn("severity", severity)
+    return codeqa.capped(rows, "path", F.col("check"), codeqa._cost())
 
 
 def reference_buckets(documents, texts):
@@ -130,7 +136,7 @@ d AS (SELECT coalesce(b.document_key, a.document_key) AS document_key, coalesce(
   FROM a FULL JOIN b ON a.document_key = b.document_key AND a.relative_path = b.relative_path AND a.content_hash IS NOT DISTINCT FROM b.content_hash)"""
 VERSIONS = """
 d AS (SELECT document_key, min(title) AS title, max(pages) AS pages, max(text_chars) AS chars FROM source_document GROUP BY 1),
-v AS (SELECT document_key, """ + FAMILY.format(t="title") + """ AS family, (SELECT max(x) FROM (SELECT unnest(list_transform(regexp_extract_all(title, '\\b(\\d+(?:\\.\\d+)+)', 1), lambda v: list_transform(string_split(v, '.'), lambda y: TRY_CAST(y AS INT)))) AS x)) AS ver,
+v AS (SELECT document_key, """ + KIND.format(t="title") + """ AS family, (SELECT max(x) FROM (SELECT unnest(list_transform(regexp_extract_all(title, '\\b(\\d+(?:\\.\\d+)+)', 1), lambda v: list_transform(string_split(v, '.'), lambda y: TRY_CAST(y AS INT)))) AS x)) AS ver,
   coalesce(pages, 0) AS pages, coalesce(chars, 0) AS chars FROM d),
 w AS (SELECT *, count(*) OVER (PARTITION BY family) AS family_size, row_number() OVER (PARTITION BY family ORDER BY ver DESC, pages DESC, chars DESC, document_key) AS k FROM v WHERE ver IS NOT NULL AND family <> '')
 """
@@ -140,6 +146,7 @@ CLAIM = "SELECT * FROM (" + STATE + f") WHERE status IN ('pending', 'failed') OR
 DUPKEY = "coalesce(nullif(" + SLUG.format(x="regexp_replace(lower(source_pdf), '\\.pdf$', '')") + ", ''), nullif(" + SLUG.format(x="title") + ", ''))"
 
 SQL = {
+    "q_page_savings": "WITH " + VERSIONS + " SELECT family, count(*) AS members, CAST(sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS BIGINT) AS superseded, CAST(sum(greatest(pages, 0)) AS BIGINT) AS pages, CAST(sum(CASE WHEN k > 1 THEN greatest(pages, 0) ELSE 0 END) AS BIGINT) AS saved_pages FROM w WHERE family_size > 1 GROUP BY family",
     "q_part_groups": f"""WITH p AS (SELECT part_id, {ROOT.format(x='root_name')} AS root, {BASE} AS base, {OWN} AS own, regexp_matches({STEM.format(x='relative_path')}, '{SPLIT}') AS split, nullif(trim(title), '') AS title, pages, text_chars FROM source_part),
       g AS (SELECT root, base, count(DISTINCT own) AS stems, bool_or(split) AS any_split FROM p GROUP BY 1, 2)
       SELECT root, CASE WHEN stems > 1 AND any_split THEN base ELSE own END AS group_key, CASE WHEN stems > 1 AND any_split THEN 'split_set' ELSE 'filename' END AS method, count(*) AS parts, max(pages) AS pages,
@@ -147,7 +154,7 @@ SQL = {
     "q_duplicate_winner": f"""WITH p AS (SELECT part_id, {ROOT.format(x='root_name')} AS root, {DUPKEY} AS k, coalesce(has_front_matter, 0) AS front, coalesce(text_chars, 0) AS chars FROM source_part),
       w AS (SELECT p.*, first_value(part_id) OVER (PARTITION BY k ORDER BY coalesce(r.root_rank, -1) DESC, front DESC, chars DESC, part_id) AS winner FROM p LEFT JOIN source_root r ON r.root_name = p.root WHERE k IS NOT NULL)
       SELECT part_id, k AS duplicate_key, part_id = winner AS is_winner, CASE WHEN part_id <> winner THEN winner END AS duplicate_of FROM w""",
-    "q_edition_families": f"""WITH d AS (SELECT DISTINCT document_key, {FAMILY.format(t='title')} AS family, title, pages FROM source_document)
+    "q_edition_families": f"""WITH d AS (SELECT DISTINCT document_key, {KIND.format(t='title')} AS family, title, pages FROM source_document)
       SELECT family, count(*) AS members, count(DISTINCT title) AS titles, coalesce(array_to_string(list_sort(list(DISTINCT pages) FILTER (WHERE pages IS NOT NULL)), ','), '') AS page_counts FROM d WHERE family <> '' GROUP BY family HAVING count(*) > 1""",
     "q_version_families": "WITH " + VERSIONS + " SELECT document_key, family, array_to_string(ver, '.') AS version, k = 1 AS is_current, family_size FROM w WHERE family_size > 1",
     "q_version_invariant": "WITH " + VERSIONS + " SELECT family, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS current, count(*) AS members, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) = 1 AS holds FROM w WHERE family_size > 1 GROUP BY family",
@@ -176,8 +183,13 @@ SQL = {
     "q_claim_batch": "SELECT document_key, priority, updated_at FROM (" + CLAIM + ") ORDER BY priority DESC, updated_at ASC NULLS FIRST, document_key LIMIT 32",
     "q_latest_event": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "q_usage_counts": "SELECT event_type, json_extract_string(props, '$.k') AS state, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2",
-    "q_compliance_score": """WITH t AS (SELECT user_id, event_type, least(sum(CASE event_type WHEN 'purchase' THEN 5 WHEN 'click' THEN 1 ELSE 2 END), 20) AS p FROM events GROUP BY 1, 2), u AS (SELECT user_id, CAST(greatest(0, 100 - sum(p)) AS INT) AS score FROM t GROUP BY 1)
-      SELECT user_id, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM u""",
+    "q_compliance_score": """WITH c AS (SELECT *, coalesce(generated_path, '-') AS path, upper(regexp_replace(coalesce(mark, ''), '[^A-Za-z]', '', 'g')) AS m, regexp_replace(regexp_replace(lower(fact), '[^\\p{L}\\p{N}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS k FROM knowledge_card),
+      p AS (SELECT card_id, path FROM (SELECT DISTINCT card_id, path FROM c)),
+      v AS (SELECT card_id, 'citation' AS g, 3 AS cost FROM c WHERE coalesce(trim(citation_key), '') = '' UNION ALL SELECT card_id, 'mark', 3 FROM c WHERE m NOT IN ('MUST', 'SHOULD', 'INFO')
+        UNION ALL SELECT card_id, 'duplicate', 1 FROM (SELECT card_id, min(card_id) OVER (PARTITION BY k) AS low FROM c WHERE fact IS NOT NULL) WHERE card_id > low
+        UNION ALL SELECT card_id, 'orphan', 6 FROM c WHERE generated_path IS NOT NULL AND generated_path NOT IN (SELECT generated_path FROM similarity_input WHERE generated_path IS NOT NULL)),
+      t AS (SELECT path, g, least(sum(cost), 20) AS p FROM v JOIN p USING (card_id) GROUP BY 1, 2), u AS (SELECT path, CAST(greatest(0, 100 - sum(p)) AS INT) AS score FROM t GROUP BY 1)
+      SELECT path, score, CASE WHEN score >= 97 THEN 'A+' WHEN score >= 93 THEN 'A' WHEN score >= 90 THEN 'A-' WHEN score >= 87 THEN 'B+' WHEN score >= 83 THEN 'B' WHEN score >= 80 THEN 'B-' WHEN score >= 77 THEN 'C+' WHEN score >= 73 THEN 'C' WHEN score >= 70 THEN 'C-' WHEN score >= 67 THEN 'D+' WHEN score >= 63 THEN 'D' WHEN score >= 60 THEN 'D-' ELSE 'F' END AS grade FROM u""",
     "q_untested_parts": "SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')",
     "q_tag_coverage": "SELECT p_brand, count(*) AS parts, count(u) AS covered FROM part LEFT JOIN (SELECT DISTINCT l_partkey, 1 AS u FROM lineitem WHERE l_returnflag = 'R') ON p_partkey = l_partkey GROUP BY 1",
     "q_reference_buckets": """WITH r AS (SELECT document_key, count(*) AS n FROM documents WHERE document_key IS NOT NULL GROUP BY 1), d AS (SELECT document_key, max(pages) AS pages FROM source_document GROUP BY 1)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import quality
-from quern.runtime import table
+from quern.runtime import fresh_folder, table
+from quern.sources.versioned import VersionedTable
 
 
 def _docs(spark, folder):
@@ -31,20 +32,31 @@ r AS (SELECT b.doc_id, letters, spaces, text_chars, CASE WHEN letters > 0 THEN s
 """
 STATUS = """CASE WHEN text_chars < 400 OR letters < 80 THEN 'fail' WHEN repeated_line_ratio >= 0.45 THEN 'fail'
   WHEN space_ratio < {t} AND structured_ratio < 0.7 THEN 'fail' WHEN space_ratio < {t} THEN 'review' ELSE 'pass' END"""
+REASON = """CASE WHEN text_chars < 400 OR letters < 80 THEN 'almost no extractable text' WHEN repeated_line_ratio >= 0.45 THEN 'text is mostly repeated headers or footers'
+  WHEN space_ratio < {t} AND structured_ratio < 0.7 THEN 'space-to-letter ratio indicates stripped spaces' WHEN space_ratio < {t} THEN 'low space ratio in mostly structured text' ELSE 'source text passed quality checks' END"""
 GATE = """SELECT doc_id, status, CAST(CASE WHEN status = 'pass' THEN 100 ELSE greatest(0, 100 - CASE WHEN space_ratio < {t} THEN 45 ELSE 0 END
-  - CASE WHEN text_chars < 400 THEN 35 ELSE 0 END - CAST(floor(repeated_line_ratio * 50) AS INT)) END AS INT) AS score, status <> 'pass' AS blocked
-  FROM (SELECT *, """ + STATUS + " AS status FROM r{more})"
+  - CASE WHEN text_chars < 400 THEN 35 ELSE 0 END - CAST(floor(repeated_line_ratio * 50) AS INT)) END AS INT) AS score, status <> 'pass' AS blocked, reason
+  FROM (SELECT *, """ + STATUS + " AS status, " + REASON + " AS reason FROM r{more})"
 CALIBRATED = """,
 s AS (SELECT DISTINCT space_ratio AS v FROM r WHERE space_ratio >= 0.01),
 g AS (SELECT v AS lo, lead(v) OVER (ORDER BY v) AS hi FROM s),
-th AS (SELECT least(0.09, greatest(0.035, coalesce((SELECT (lo + hi) / 2 FROM g WHERE hi IS NOT NULL AND lo <= 0.14 ORDER BY hi - lo DESC, hi / lo DESC LIMIT 1), 0.08))) AS threshold)
+th AS (SELECT least(0.09, greatest(0.035, coalesce((SELECT (lo + hi) / 2 FROM g WHERE hi IS NOT NULL AND lo <= 0.14 ORDER BY hi - lo DESC, lo DESC LIMIT 1), 0.08))) AS threshold)
 """
 POINTS = "(VALUES (0), (5), (25), (50), (75), (95), (100))"
 
+
+def quarantined(s, f):
+    """The documents that are blocked, kept in a table and read back."""
+    kept = VersionedTable(s, fresh_folder(s, "quarantine"))
+    quality.quarantine(_docs(s, f), kept)
+    return kept.read().select("doc_id", "status", "reason")
+
+
 QUERIES = {
     "q_source_ratios": lambda s, f: _r6(quality.ratios(_docs(s, f)), "space_ratio", "repeated_line_ratio", "structured_ratio"),
     "q_quality_gate_fixed": lambda s, f: quality.gate(_docs(s, f)),
     "q_quality_gate_calibrated": lambda s, f: quality.gate(_docs(s, f), None),
+    "q_quarantine": quarantined,
     "q_quality_status_counts": lambda s, f: quality.gate(_docs(s, f)).groupBy("status").agg(F.count("*").alias("documents"), F.sum("score").alias("scores")),
     "q_ratio_distribution": lambda s, f: _r6(quality.percentiles(quality.ratios(_docs(s, f)), "space_ratio"), "value"),
     "q_vocabulary": lambda s, f: quality.vocabulary(_docs(s, f)),
@@ -55,6 +67,7 @@ QUERIES = {
     "q_catalog_search": lambda s, f: table(s, f, "source_document").where(F.lower(F.concat_ws(" ", "document_key", "title", "category", "source_pdf")).contains("release")).select("document_key", "title", "category", "updated_at"),
 }
 SQL = {
+    "q_quarantine": "SELECT doc_id, status, reason FROM (WITH " + RATIOS + GATE.format(t="0.08", more="") + ") WHERE blocked",
     "q_source_ratios": "WITH " + RATIOS + " SELECT doc_id, letters, spaces, text_chars, round(space_ratio, 6) AS space_ratio, round(repeated_line_ratio, 6) AS repeated_line_ratio, round(structured_ratio, 6) AS structured_ratio FROM r",
     "q_quality_gate_fixed": "WITH " + RATIOS + GATE.format(t="0.08", more=""),
     "q_quality_gate_calibrated": "WITH " + RATIOS + CALIBRATED + GATE.format(t="threshold", more=", th"),

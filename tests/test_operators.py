@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -37,6 +39,10 @@ def test_percentiles_are_nearest_rank(spark):
     s = sorted(x for x in v if x is not None)
     assert got == {p: s[round(p / 100 * (len(s) - 1))] for p in (0, 5, 25, 50, 75, 95, 100)}
     assert quality.percentiles(spark.createDataFrame([], "v double"), "v").count() == 0
+    v = [1e300, -1e300, float("nan"), *[0.0] * 50, *[k / 1e6 for k in range(200)], 5e-324]
+    got = {r["point"]: r["value"] for r in quality.percentiles(spark.createDataFrame([(x,) for x in v], "v double"), "v").collect()}
+    s = sorted(x for x in v if x == x)
+    assert got == {p: s[round(p / 100 * (len(s) - 1))] for p in (0, 5, 25, 50, 75, 95, 100)}
 
 
 def test_calibration(spark):
@@ -44,6 +50,7 @@ def test_calibration(spark):
     assert abs(quality.calibrated_threshold(df([0.02, 0.03, 0.11, 0.12, 0.19]), "v") - 0.07) < 1e-9
     assert quality.calibrated_threshold(df([]), "v") == 0.08
     assert quality.calibrated_threshold(df([0.02, 0.021, 0.3]), "v") == 0.09
+    assert quality.calibrated_threshold(df([0.015625, 0.03125, 0.046875]), "v") == 0.0390625  # equal gaps: the greater values
 
 
 def test_gate(spark):
@@ -83,8 +90,24 @@ def test_references(spark):
     names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
     near = {r["stale"]: r["nearest"] for r in gates.nearest_names(names("parse_lin", "zzz", "parse_line"), names("parse_line", "parse_word")).collect()}
     assert near == {"parse_lin": "parse_line", "zzz": None}
-    numbers = {r["name"]: r["number"] for r in gates.free_numbers(spark.createDataFrame([("b", 501)], "name string, number int"), names("a", "b", "c", "d"), 500, 502).collect()}
-    assert numbers == {"a": 500, "b": 501, "c": 502, "d": None}
+    numbers = {r["name"]: r["number"] for r in gates.free_numbers(spark.createDataFrame([("b", 501)], "name string, number int"), names("a", "b", "c"), 500, 502).collect()}
+    assert numbers == {"a": 500, "b": 501, "c": 502}
+    with pytest.raises(ValueError):
+        gates.free_numbers(spark.createDataFrame([("b", 501)], "name string, number int"), names("a", "b", "c", "d"), 500, 502)
+    rng = random.Random(3)
+    known, lost = ({"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(40)} for _ in range(2))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    near = {r["stale"]: r["nearest"] for r in gates.nearest_names(names(*lost), names(*known)).collect()}
+    best = {x: min((edits(x, y), y) for y in known) for x in lost - known}
+    assert near == {x: y if d <= len(x) // 2 else None for x, (d, y) in best.items()}
 
 
 def test_structure(spark):
@@ -114,7 +137,13 @@ def test_prose(spark):
     assert r[0]["mode"] == "procedural" and not r[0]["passive"] and r[1]["passive"]
     c = prose.pattern_counts(df).where("doc_id = 1").first()
     assert (c["contraction"], c["latin"], c["semicolon"]) == (1, 1, 1)
-    assert 0 <= prose.scores(df).where("doc_id = 1").first()["score"] < 100
+    # verbs: passive in one of two sentences; punctuation: one of two; contraction, latin: per word (18 of them); five sections are clean
+    r = prose.scores(df).where("doc_id = 1").first()
+    words = prose.profiles(df).where("doc_id = 1").first()["words"]
+    penalty = (2 * (1 / words) / 5 + 0.25 + 0.5 + 2 * (1 / words) / 4) / 7
+    assert r["score"] == round(100 * (1 - penalty)) and r["punctuation_score"] == 50 and r["verbs_score"] == 75 and r["nouns_score"] == 100
+    long = prose.profiles(df).join(prose.sentence_rules(prose.sentences(df)).groupBy("doc_id").agg(*[F.sum(F.col(c).cast("int")).alias(f"{c}2") for c in ("length", "passive", "tense", "cluster")], F.sum("words").alias("words2")), "doc_id").first()
+    assert all(long[c] == long[f"{c}2"] for c in ("length", "passive", "tense", "cluster", "words"))
     assert prose.sentence_rules(spark.createDataFrame([(1, 0, 0, "word " * 26)], "doc_id long, paragraph int, no int, sentence string")).first()["length"]
 
 
@@ -148,6 +177,14 @@ def test_code_rules(spark):
     assert {("pkg/b.py", x) for x in ("STRUCT-PARAMS", "STRUCT-NESTING", "CONV-INPUT", "CONV-LOG-FSTRING", "CONV-NAME", "CONV-PATH", "ARCH-ALIAS")} <= rows
     assert {("pkg/a.py", "ARCH-STUB"), ("pkg/a.py", "ARCH-NAMING"), ("pkg/a.py", "ARCH-DELEGATE")} <= rows
     m = lambda s: spark.createDataFrame([("a", s)], "path string, source string")
+    rules = lambda s: sorted(r["rule"] for r in codeqa.style_findings(m(s)).collect())
+    assert rules("x = (1,  # note\n     2)\ny = 3  # note\n") == [] and rules("# head\nx = 1\ny = 2  # note\nz = 3  # note\n") == ["CONV-COMMENTS"]
+    assert "CONV-MARKER" in rules("x = 1  # ... existing code ...\n") and rules("'doc'\n") == []
+    names = {r["subject"]: r["severity"] for r in codeqa.style_findings(m("def compat_read(a): return 1 + a\ndef compatible(a): return 1 + a\ndef readHelper(a): return 1 + a\ndef my_pass_through(a): return 1 + a\nclass Proxy: x = 1\n")).where("rule = 'ARCH-NAMING'").collect()}
+    assert names == {"compat_read": "medium", "readHelper": "low", "my_pass_through": "medium"}
+    rows = [("a", "ARCH-STUB", "medium")] * 9 + [("a", "CONV-NAME", "low"), ("a", "ARCH-ALIAS", "high"), ("b", "STRUCT-LENGTH", "medium")]
+    assert {tuple(r) for r in codeqa.scores(spark.createDataFrame(rows, "path string, rule string, severity string")).collect()} == {("a", 79, "C+"), ("b", 97, "A+")}
+    assert codeqa.comment_coverage(m("x = 1  # a\ny = 2\nz = 3\n")).first()["percent"] == 33.3
     assert codeqa.same_code(m("def f():\n    'doc'\n    return 1"), m("# new\ndef f():\n    return 1")).first()["only_prose"]
     assert not codeqa.same_code(m("x = 1"), m("x = 2")).first()["only_prose"]
 
