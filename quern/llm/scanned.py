@@ -43,6 +43,8 @@ CONFUSED = [
     ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("fi", "h"), ("lc", "k"), ("tt", "it"), ("ni", "m"), ("in", "m"),
     ("o", "c"), ("c", "o"), ("o", "e"), ("e", "o"), ("a", "o"), ("s", "5"), ("v", "y"), ("y", "v"),
 ]
+#: Rows of the index, of some 60 bytes each, that are broadcast; a larger one is joined by a shuffle.
+INDEX_ROWS = 400_000
 #: An index list (trigram, length) of more words than this is spread over ``SALTS`` tasks.
 LONG_LIST = 200
 SALTS = 16
@@ -350,14 +352,18 @@ def candidates(words: DataFrame) -> DataFrame:
         .select(F.col("word").alias("read"), F.col("packets").alias("read_df"), F.posexplode(gram).alias("from", "g"), F.length("word").alias("size"))
         .withColumn("len", F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2)))
     )
-    index = cut(index)
-    long = cut(index.groupBy("g", "len").agg(F.count("*").alias("words")).where(F.col("words") > LONG_LIST).select("g", "len", F.lit(True).alias("long")))
-    long = broadcast_if_small(long)
-    index = index.join(long, ["g", "len"], "left").withColumn("salt", F.explode(F.when(F.col("long"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("long")
-    probe = probe.join(long, ["g", "len"], "left").withColumn("salt", F.when(F.col("long"), F.pmod(F.xxhash64("read"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("long")
+    index, on = cut(index), ["g", "len"]
+    if index.count() <= INDEX_ROWS:
+        index = F.broadcast(index)
+    else:
+        long = broadcast_if_small(cut(index.groupBy(*on).agg(F.count("*").alias("words")).where(F.col("words") > LONG_LIST).select(*on, F.lit(True).alias("long"))))
+        copies = F.when(F.col("long"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        index = index.join(long, on, "left").withColumn("salt", F.explode(copies)).drop("long")
+        probe = probe.join(long, on, "left").withColumn("salt", F.when(F.col("long"), F.pmod(F.xxhash64("read"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("long")
+        on = [*on, "salt"]
     near = (F.col("far") >= 0) & ((F.col("far") <= 1) | ((F.col("far") == 2) & (F.col("size") >= 5)) | (F.col("size") >= 7))
     return (
-        probe.join(index, ["g", "len", "salt"])
+        probe.join(index, on)
         .where((F.abs(F.col("from") - F.col("at")) <= 2) & (F.col("read") != F.col("true")) & (F.col("true_df") >= F.col("read_df")))
         .withColumn("far", F.levenshtein("read", "true", 3))
         .where(near)  # before the count, so that only near pairs are shuffled

@@ -103,3 +103,14 @@ def test_no_cap_on_words_and_lines():
     assert long in words
     lines = ["- - - - - - - - - - - - - - page 12 of 40 - - - - - - - - - - - - - -", "1234567", "the pump closes 7 valves of the second relay", "xiv"]
     assert kinds_of(lines) == ["number", "number", "text", "number"]
+
+
+def test_candidates_do_not_depend_on_the_way_of_the_join(spark, monkeypatch):
+    from quern.llm import scanned
+
+    rows = [(w, n, True) for w, n in (("closed", 9), ("loaded", 8), ("c1osed", 1), ("loadcd", 1), ("folded", 7), ("fo1ded", 2), ("valve", 5), ("va1ve", 1))]
+    words = spark.createDataFrame(rows, "word string, packets long, spoken boolean")
+    got = sorted(map(str, scanned.candidates(words).collect()))
+    monkeypatch.setattr(scanned, "INDEX_ROWS", 1)
+    monkeypatch.setattr(scanned, "LONG_LIST", 1)
+    assert got and sorted(map(str, scanned.candidates(words).collect())) == got
