@@ -71,11 +71,15 @@ TRUSTED = {
 }
 _SLOT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SLOTS.items()), re.I)
 _TRUST = [(KINDS.index(k), re.compile(v, re.I)) for k, v in TRUSTED.items()]
-#: Every sign has one of these in lower case, but for a word that stands four times in a row.
+#: Every sign of a class has one of these in lower case; a filler may also be a word that stands four times in a row,
+#: and an error page a status number beside one of the words after the bar.
 _CUES = (
-    "lorem ipsum", "dummy text", "filler text", "filler line", "asdf", "sample text", "error", "status", "http", "not found", "forbidden", "gone", "unauthori", "bad", "internal",
-    "service", "gateway", "too many", "nicht gefunden", "no encontrad", "non trouv", "introuvable", "session has expired", "access denied", "traceback", "script", "active content", "your browser",
+    ("lorem ipsum", "dummy text", "filler text", "filler line", "asdf", "sample text"),
+    ("not found", "service unavailable", "internal server error", "bad gateway", "too many requests", "nicht gefunden", "no encontrad", "non trouv", "introuvable", "session has expired", "access denied", "traceback"),
+    ("script", "active content", "your browser"),
 )
+_BESIDE = ("error", "status", "http", "forbidden", "gone", "unauthori", "bad", "internal", "service", "gateway")
+_STATUS = re.compile(r"(?<!\d)[45]\d\d(?!\d)").search
 _FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
 _SHOWN = re.compile(r"`[^`\n]+`|\"[^\"\n]+\"|“[^”\n]+”|«[^»\n]+»|„[^“\n]+“")
 _BREAK = re.compile(r"\n[ \t]*\n\s*|(?<=[.!?])\n|(?<=\n)(?=#)|(?<=^)(#[^\n]*)\n")
@@ -149,8 +153,8 @@ def _trusted(plain: str, n: int, stutters: bool) -> int:
     if slots >= 2 and slots * 14 >= n:
         return 0
     lower = plain.lower()
-    if stutters or any(c in lower for c in _CUES):
-        for kind, pattern in _TRUST:
+    for (kind, pattern), cues in zip(_TRUST, _CUES, strict=True):
+        if any(c in lower for c in cues) or kind == 1 and stutters or kind == 2 and _STATUS(lower) and any(c in lower for c in _BESIDE):
             if n <= SIGN_WORDS and pattern.search(plain) or n > SIGN_WORDS and sum(1 for _ in pattern.finditer(plain)) * SIGN_WORDS >= n:
                 return kind
     return -1
