@@ -74,6 +74,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.found(table(spark, folder, "rewrite_packet"))
 
 
+P5_FOUND = r"""
+WITH t AS (SELECT DISTINCT packet_id, source_segment AS s FROM rewrite_packet WHERE packet_id IS NOT NULL AND length(source_segment) > 3000),
+m AS (SELECT packet_id, list_max(list_transform(string_split_regex(s, '\n\s*\n'), lambda x: length(trim(x, chr(32) || chr(9) || chr(10) || chr(13))))) AS blank,
+  list_max(list_transform(string_split(s, chr(10)), lambda x: length(trim(x, chr(32) || chr(9) || chr(13))))) AS line, list_max(list_transform(string_split_regex(s, '\s+'), lambda x: length(x))) AS word FROM t)
+SELECT packet_id, CASE WHEN blank <= 2800 THEN 'blank_line' WHEN line <= 2800 THEN 'line_break' WHEN word <= 2800 THEN 'space' ELSE 'none' END AS coarsest_cut FROM m
+"""
+
+
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.pieces(table(spark, folder, "rewrite_packet"), table(spark, folder, "source_document"))
 
@@ -133,4 +141,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p7_found": P7_FOUND, "p8_found": P8_FOUND}
+    return {"p3_found": P3_FOUND, "p5_found": P5_FOUND, "p7_found": P7_FOUND, "p8_found": P8_FOUND}
