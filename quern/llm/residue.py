@@ -1,9 +1,9 @@
 """Template residue, filler, error pages and script notices that stand in place of content.
 
 Passages (paragraphs, without code and quotations) are scored by a naive Bayes model that is learned from
-trusted positive records and unlabelled text only; in the final decision these are scored like all others. A first pass over the corpus counts hashed word and
-word-pair features of all passages; a second keeps those passages that the trusted classes could explain at
-all, and expectation-maximization runs over them as Spark jobs whose results are the bounded count tables
+trusted positive records and unlabelled text only; in the final decision these are scored like all others. One pass over the texts counts hashed word and
+word-pair features of all passages and writes the word ids of every record aside; a second, over those, keeps the
+passages that the trusted classes could explain at all, and expectation-maximization runs over them as Spark jobs whose results are the bounded count tables
 (``FEATURES`` x classes). The class-conditional word laws are Dirichlet-smoothed with the law of the whole
 corpus, so a word foreign to a class counts against it however rare it is, and noise words never count for it.
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.words import chunks
-from quern.runtime import cut
+from quern.runtime import cut, drop_folder, fresh_folder
 
 KINDS = ("placeholder", "filler", "error_page", "script_notice")
 HALF = 1 << 17
@@ -187,12 +187,20 @@ def _split(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield lo, ids, _pairs(ids, starts), starts, record, size, label, letters
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Feature counts of a partition: class -1 all passages, else trusted ones; features past FEATURES are length buckets."""
+def _parts(values: np.ndarray, kind: type, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+    """The values of each range as bytes."""
+    raw, each = values.astype(kind).tobytes(), np.dtype(kind).itemsize
+    return [raw[a:z] for a, z in zip((lo * each).tolist(), (hi * each).tolist(), strict=True)]
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of ``READ`` of a partition: its records that have a word, then its feature counts (class -1 all passages,
+    else trusted ones; features past FEATURES are length buckets)."""
     total = np.zeros(FEATURES + len(LENGTHS) + 1)
     held = np.zeros((len(KINDS), FEATURES + len(LENGTHS) + 1))
     for b in batches:
-        for _, ids, pairs, starts, record, size, label, _ in _split(b["text"].tolist()):
+        doc = b["doc_id"].to_numpy()
+        for lo, ids, pairs, starts, record, size, label, letters in _split(b["text"].tolist()):
             if not len(record):
                 continue
             total[:HALF] += np.bincount(ids, minlength=HALF)
@@ -204,10 +212,26 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 row[np.unique(ids[starts[p] : starts[p + 1]])] += weight
                 row[np.unique(pairs[starts[p] : starts[p + 1]])] += weight
                 row[FEATURES + bucket[p]] += weight
+            own = np.unique(record)
+            at, end = np.searchsorted(record, own), np.searchsorted(record, own, side="right")
+            found = {"kind": WRITTEN, "key": doc[lo + own], "n": 0.0, "ids": _parts(ids, np.int32, starts[at], starts[end])}
+            yield pd.DataFrame(found | {"lengths": _parts(np.diff(starts), np.int32, at, end), "letters": _parts(letters, np.int32, at, end), "labels": _parts(label, np.int8, at, end)})
     for kind, row in [(-1, total), *enumerate(held)]:
         at = np.flatnonzero(row)
         if len(at):
-            yield pd.DataFrame({"kind": kind, "feature": at, "n": row[at]})
+            yield pd.DataFrame({"kind": kind, "key": at, "n": row[at], "ids": None, "lengths": None, "letters": None, "labels": None})
+
+
+def _written(b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``_split`` gave of the records of a batch, per chunk."""
+    every = {c: b[c].tolist() for c in ("ids", "lengths", "letters", "labels")}
+    for lo, hi in chunks(every["ids"]):
+        ids, n, letters = (np.frombuffer(b"".join(every[c][lo:hi]), np.int32).astype(np.int64) for c in ("ids", "lengths", "letters"))
+        label = np.frombuffer(b"".join(every["labels"][lo:hi]), np.int8).astype(np.int64)
+        starts = np.r_[0, np.cumsum(n)]
+        record = np.repeat(np.arange(hi - lo), [len(x) for x in every["labels"][lo:hi]])
+        size = np.bincount(record, weights=n, minlength=hi - lo).astype(np.int64)
+        yield lo, ids, _pairs(ids, starts), starts, record, size, label, letters
 
 
 class Model:
@@ -266,23 +290,28 @@ def _table(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return total, held
 
 
+#: Kind of the rows of ``READ`` that are records, with their doc_id as key; all others are counts of features.
+WRITTEN = -2
+READ = "kind int, key long, n double, ids binary, lengths binary, letters binary, labels binary"
 ACTIVE = "doc_id long, bucket int, size long, lengths array<int>, sizes array<int>, pair_sizes array<int>, labels array<int>, ids array<int>, pairs array<int>"
 
 
 def passages(documents: DataFrame) -> tuple[DataFrame, Model]:
     """Passages of the corpus that may be residue (``ACTIVE``), and the model after the last round."""
-    sc = documents.sparkSession.sparkContext
+    spark = documents.sparkSession
+    sc = spark.sparkContext
     corpus = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    total, held = _table(corpus.select("text").mapInPandas(_count, "kind int, feature long, n double"))
+    folder = fresh_folder(spark, "residue")
+    corpus.mapInPandas(_read, READ).write.option("compression", "zstd").parquet(f"{folder}/read")
+    read = spark.read.schema(READ).parquet(f"{folder}/read")
+    total, held = _table(read.where(F.col("kind") != WRITTEN).select("kind", F.col("key").alias("feature"), "n"))
     model = Model(total, held)
 
     def keep(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
         now: Model = shared.value
         for b in batches:
             doc = b["doc_id"].to_numpy()
-            for lo, ids, pairs, starts, record, size, label, letters in _split(b["text"].tolist()):
-                if not len(record):
-                    continue
+            for lo, ids, pairs, starts, record, size, label, letters in _written(b):
                 bucket = np.searchsorted(LENGTHS, size[record])
                 odds = now.scores(ids, starts, pairs, starts, bucket)
                 # Runs without blanks are no words, and the same lines again and again are no message.
@@ -303,7 +332,9 @@ def passages(documents: DataFrame) -> tuple[DataFrame, Model]:
                 yield pd.DataFrame(rows, columns=["doc_id", "bucket", "size", "lengths", "sizes", "pair_sizes", "labels", "ids", "pairs"])
 
     first = sc.broadcast(model)  # FEATURES x classes numbers
-    active = cut(corpus.mapInPandas(lambda it: keep(it, first), ACTIVE))
+    records = read.where(F.col("kind") == WRITTEN).select(F.col("key").alias("doc_id"), "ids", "lengths", "letters", "labels")
+    active = cut(records.mapInPandas(lambda it: keep(it, first), ACTIVE))
+    drop_folder(spark, folder)
     for _ in range(ROUNDS):
         shared = sc.broadcast(model)
 

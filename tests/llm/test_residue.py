@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from quern.llm import residue
+from quern.llm import residue, words
 
 DOCS = "doc_id long, text string, label int, ids string"
 
@@ -87,3 +87,40 @@ def test_every_way_to_write_a_slot_is_seen():
     ways += [f"{w}: later" for x in ("todo", "fixme", "tbd") for w in (x, x.upper(), x.title())]
     ways += [f"({w})" for x in ("supplied", "added", "confirmed", "determined", "written", "defined") for w in (f"name to be {x}", f"NAME TO BE {x.upper()}", f"Name To Be {x.title()}")]
     assert [w for w in ways if "slotof" not in residue._plain(f"The pump is {w} here")] == []
+
+
+def test_texts_are_read_once(spark):
+    from pyspark.sql import functions as F
+
+    rows, truth = corpus()
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], DOCS).withColumn("text", F.udf(seen, "string").asNondeterministic()("text"))
+    got = {r["doc_id"]: r["residue_kind"] for r in residue.residue(df).collect()}
+    assert read.value == len(rows)
+    assert sum(got.get(i) != k for i, k in truth.items()) <= 1
+
+
+def test_written_records_are_those_that_were_split(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    texts = [t for _, t in corpus()[0]] + ["", None, " \n\n ", "one", "{{a}} {{b}}\n\n\n\n# c\n404", "ab " * 50_000]
+    (_, ids, pairs, starts, record, size, label, letters), *rest = residue._split(texts)
+    assert not rest
+    out = list(residue._read(iter([pd.DataFrame({"doc_id": np.arange(len(texts)) + 7, "text": pd.Series(texts, dtype=object)})])))
+    kept = pd.concat([x[x["kind"] == residue.WRITTEN] for x in out])
+    assert kept["key"].tolist() == (np.unique(record) + 7).tolist()
+    for limit in (4_000_000, 1):  # one chunk, and one for each record
+        monkeypatch.setattr(residue, "chunks", lambda rows, limit=limit: words.chunks(rows, limit))
+        parts = list(residue._written(kept))
+        assert len(parts) == (1 if limit > 1 else len(kept))
+        for at, whole in ((1, ids), (2, pairs), (6, label), (7, letters)):
+            assert np.array_equal(np.concatenate([p[at] for p in parts]), whole)
+        assert np.array_equal(np.concatenate([np.diff(p[3]) for p in parts]), np.diff(starts))
+        assert np.array_equal(np.concatenate([p[5] for p in parts]), size[size > 0])
+        assert np.array_equal(np.concatenate([p[0] + p[4] for p in parts]), np.unique(record, return_inverse=True)[1])
