@@ -154,6 +154,11 @@ def quarantine(documents: DataFrame, table: VersionedTable, threshold: float | N
     return table.commit(gate(documents, threshold).where("blocked"), replace=True)
 
 
+def word_counts(documents: DataFrame) -> DataFrame:
+    """word, n over the whole corpus: ``vocabulary`` without its documents, which is what sorts every text."""
+    return documents.select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
 def vocabulary(documents: DataFrame, least: int = 1) -> DataFrame:
     """word, n, documents over the whole corpus. Each row tells its own first of a word, so words are counted before the shuffle."""
     sorted_words = documents.select(F.array_sort(T.words(F.col("text"))).alias("w"))

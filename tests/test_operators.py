@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,6 +216,49 @@ def test_segments_know_every_word(spark, monkeypatch):
     assert ("1", ["the", "gaugette", "closes"]) in whole and ("None", ["pump", "él", "the", "zu"]) in whole and len(whole) == 7
 
 
+def _plain_cut(text, logs, unknown):
+    best = [(0.0, 0)]
+    for end in range(1, len(text) + 1):
+        best.append(max(((best[at][0] + logs.get(text[at:end], unknown - 2.3 * (end - at)), at) for at in range(max(0, end - 32), end)), key=lambda x: (x[0], -x[1])))
+    out, end = [], len(text)
+    while end:
+        out.append(text[best[end][1] : end])
+        end = best[end][1]
+    return out[::-1]
+
+
+def test_runs_are_cut_abreast(monkeypatch):
+    rng = random.Random(7)
+    words = {"".join(rng.choices("abcdeéß𝔞", k=rng.randint(1, 7))) for _ in range(400)} | {"a" * 32, "cab" * 10}
+    logs = {w: math.log(rng.choice((1, 1, 2, 5, 80)) / 40_000) for w in sorted(words)}
+    runs = ["", "a", "a" * 700, "7" * 70, "𝔞" * 33, "xyz"] + ["".join(rng.choices(sorted(words) + ["x", "zz"], k=rng.randint(1, 120))) for _ in range(60)]
+    unknown = -math.log(40_000)
+    held, own = {w: x for i, (w, x) in enumerate(logs.items()) if i % 3}, {w: x for i, (w, x) in enumerate(logs.items()) if i % 3 == 0}
+    began = time.process_time()
+    wanted = [_plain_cut(r, logs, unknown) for r in runs]
+    plain = time.process_time() - began
+    for abreast, stride in ((256, 256), (7, 33), (1, 5)):
+        monkeypatch.setattr(repair, "ABREAST", abreast)
+        monkeypatch.setattr(repair, "STRIDE", stride)
+        assert repair._cuts(runs, repair._Words(list(logs), list(logs.values())), unknown) == wanted
+        assert repair._cuts(runs, repair._Words(list(held), list(held.values())), unknown, [own] * len(runs)) == wanted
+    assert repair._cuts(runs, repair._Words([], []), unknown, [logs] * len(runs)) == wanted
+    monkeypatch.undo()
+    began = time.process_time()
+    assert repair._cuts(runs * 8, repair._Words(list(logs), list(logs.values())), unknown) == wanted * 8
+    assert time.process_time() - began < 8 * plain / 3
+
+
+def test_segment_accuracy_has_a_line_for_every_text(spark, tmp_path, monkeypatch):
+    from quern.plans.flow_plans import segment_accuracy
+
+    rows = [(1, "The pump closes."), (1, "the valve opens"), (None, "the pump"), (2, None), (3, " 12 "), (4, "the valve")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for held in (100_000, 2, 0):
+        monkeypatch.setattr(repair, "VOCABULARY", held)
+        assert tuple(segment_accuracy(spark, str(tmp_path)).first()) == (4, 1.0)
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a" / "sub").mkdir(parents=True)
     (tmp_path / "a" / "sub" / "x.md").write_text("---\nTitle: One\ntitle: 'Two'\npages: 3\n---\nbody <!-- page 7 -->")
